@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import media, mixing, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_huffman": token_files.query}
+    return {
+        "op3_huffman": token_files.query,
+        "op4_media": media.query,
+        "op8_mixing": mixing.query,
+        "op10_packing": packing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
