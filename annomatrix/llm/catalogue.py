@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, token_files
+from . import media, mixing, packing, token_files, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_topk": topk.query,
         "op3_huffman": token_files.query,
         "op4_media": media.query,
         "op8_mixing": mixing.query,
+        "op9_urls": urls.query,
         "op10_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk": topk.ORACLE}
