@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, repeats, token_files, topk, urls
+from . import media, mixing, near, packing, repeats, token_files, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_huffman": token_files.query,
         "op4_media": media.query,
         "op5_repeats": repeats.query,
+        "op7_near_dedup": near.query,
         "op8_mixing": mixing.query,
         "op9_urls": urls.query,
         "op10_packing": packing.query,
