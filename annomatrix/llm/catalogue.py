@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, near, packing, repeats, token_files, topk, urls
+from . import html, media, mixing, near, packing, repeats, token_files, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": topk.query,
+        "op2_html": html.query,
         "op3_huffman": token_files.query,
         "op4_media": media.query,
         "op5_repeats": repeats.query,
+        "op6_toxicity": toxicity.query,
         "op7_near_dedup": near.query,
         "op8_mixing": mixing.query,
         "op9_urls": urls.query,

@@ -74,9 +74,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
     slices = max(1, -(-n // slice_rows))
     queued = queued.withColumn("slice", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * slices).cast("long"))
     queued = _running(queued, ["source"], "slice", ["place", "doc_id"], "size", "upto")
-    passes = F.when(F.col("source_size") > 0, F.ceil(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int")
+    passes = F.when(F.col("source_size") > 0, F.ceil(F.try_divide("target", "source_size") + 1e-9)).otherwise(0).cast("int")
     copies = queued.where("size > 0").select("doc_id", "source", "mark", "place", "size", "upto", "source_size", "target", F.explode(F.sequence(F.lit(0), F.least(passes, F.lit(most)) - 1)).alias("turn"))
-    copies = copies.where(F.col("turn") < most).withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("upto")) / F.col("target"))
+    copies = copies.where(F.col("turn") < most).withColumn("finish", F.try_divide(F.col("turn") * F.col("source_size") + F.col("upto"), F.col("target")))
     # Every source comes to 1 at its target, so that slices of equal finish time hold like numbers of words.
     copies = copies.withColumn("cut", F.floor(F.col("finish") * slices).cast("long"))
     copies = _running(copies, [], "cut", ["finish", F.col("source").asc_nulls_last(), "place", "doc_id", "turn"], "size", "spent")
@@ -87,8 +87,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
     key = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("mark").eqNullSafe(F.col("m")) & F.col("source").eqNullSafe(F.col("s2"))
     same = rows.groupBy("doc_id", "mark", "source").agg(F.count(F.lit(1)).alias("same"), F.first("size").alias("size"))
     out = same.join(taken, key, "left").join(goal, F.col("source").eqNullSafe(F.col("s")), "left")
-    share = F.coalesce(F.floor(F.col("words") / F.col("size") / F.col("same")) * F.col("size"), F.lit(0)).cast("long")
-    odd = F.pmod((F.col("words") / F.col("size")).cast("long"), F.col("same"))
+    share = F.coalesce(F.floor(F.try_divide("words", "size") / F.col("same")) * F.col("size"), F.lit(0)).cast("long")
+    odd = F.pmod(F.try_divide("words", "size").cast("long"), F.col("same"))
     out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"))))
     extra = F.when((F.col("size") > 0) & (F.col("nth") <= F.coalesce(odd, F.lit(0))), F.col("size")).otherwise(0)
     taken_words = F.when(F.col("size") > 0, share + extra).otherwise(0).cast("long")
