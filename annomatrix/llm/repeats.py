@@ -7,8 +7,9 @@ one hash. Occurrences whose spans agree repeat as a whole. Only where an anchor'
 distinct span gives its windows one by one, and those that agree with another are joined back. Overlapping windows
 make up the maximal repeats, whose words are removed everywhere.
 
-No pair of occurrences is ever made: groups are counted, with partial sums, and the counts are joined back. Anchors
-and spans are 64-bit hashes each, taken together; windows have 128 bits.
+No pair of occurrences is ever made: groups are counted, with partial sums, and the counts are joined back, those of
+keys with a large share of the rows by a bounded broadcast. Anchors and spans are 64-bit hashes each, taken together;
+windows have 128 bits.
 
 Windows are judged on the input. Null texts have no words; texts shorter than a window keep them. Rows that share
 doc_id and text are separate occurrences, so both lose what they share. A null doc_id is a document like others. An
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialize
+from .skew import join_counted
 from .words import Runs, chunks, mix, signed
 
 WINDOW = 35
@@ -118,17 +120,17 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """(_id, _mark, first, many): runs of windows that start elsewhere too."""
     seen = materialize(occurrences(keyed, window, anchor), "anchors")
     more = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1"))
-    more = more.where("n > 1").select("anchor", (F.col("s0") != F.col("s1")).alias("differ"))
-    shared = materialize(seen.join(more, "anchor"), "shared-anchors")
+    more = more.where("n > 1").select("anchor", "n", (F.col("s0") != F.col("s1")).alias("differ"))
+    shared = materialize(join_counted(seen, more, ["anchor"], "repeated-anchors").drop("n"), "shared-anchors")
     alike = shared.where("not differ").select(*KEY, "first", "many")
     differ = shared.where("differ")
     place = F.struct(*KEY, "first", "many")
     spans = differ.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
-    whole = differ.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select(*KEY, "first", "many")
+    whole = join_counted(differ, spans.where("n > 1").select("anchor", "span", "n"), ["anchor", "span"], "repeated-spans").select(*KEY, "first", "many")
     wanted = spans.select("place.*").groupBy(*KEY).agg(F.collect_set(F.struct("first", "many")).alias("wanted"))
     single = materialize(windows(keyed.select(*KEY, "text").join(wanted, KEY), window), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    some = single.join(twice, ["w1", "w2"]).select(*KEY, "first", F.lit(1).alias("many"))
+    twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    some = join_counted(single, twice, ["w1", "w2"], "repeated-windows").select(*KEY, "first", F.lit(1).alias("many"))
     return alike.unionByName(whole).unionByName(some)
 
 
