@@ -12,11 +12,10 @@ piece. Sequence ids are unique: the partition in the upper bits, a running numbe
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,18 +94,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     at most capacity sequences of each level's count."""
     path = tokenizer or tokens.tokenizer_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(path, 2).encode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_all = tokens.encoder(path, 2).encode_all
         end = tokens.END_ID.to_bytes(2, "little")
         base = TaskContext.get().partitionId() << PART_BITS
         held: dict[int, list] = {}  # row number: doc_id, ids, tokens not yet given out
 
         def sizes() -> Iterator[tuple[int, int]]:
             row = 0
-            for pdf in batches:
-                for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    ids = encode(text) + end
-                    held[row] = [None if pd.isna(d) else int(d), ids, len(ids) // 2]
+            for batch in batches:
+                for d, text_ids in zip(batch.column("doc_id").to_pylist(), encode_all(batch.column("text")), strict=True):
+                    ids = text_ids + end
+                    held[row] = [d, ids, len(ids) // 2]
                     yield row, len(ids) // 2
                     row += 1
 
@@ -122,17 +121,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
                 held[row][2] = left - length
             size += length
             if size > 1 << 20:
-                yield _frame(out)
+                yield _batch(out)
                 out, size = [], 0
-        yield _frame(out)
+        yield _batch(out)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return source.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-    return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

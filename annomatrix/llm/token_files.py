@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,13 +35,13 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, width: int = 2) -> D
     path = tokenizer or tokens.tokenizer_path()
     end = tokens.END_ID.to_bytes(width, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(path, width).encode
-        for pdf in batches:
-            texts = pdf["text"]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [encode(t) + end for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_all = tokens.encoder(path, width).encode_all
+        for batch in batches:
+            ids = pa.array([ids + end for ids in encode_all(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def id_counts(ids: DataFrame, vocabulary: int, width: int = 2) -> np.ndarray:

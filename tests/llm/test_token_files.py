@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,15 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encode(text), "<u2").tolist() == plain(text), repr(text)
 
 
+def test_runs_of_texts_equal_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "RUN_BYTES", 200)
+    encoder, plain, rng = tokens.encoder(tokens.tokenizer_path()), library(), random.Random(4)
+    texts = [None, "", " ", "one", *("".join(rng.choice(ALPHABET) for _ in range(rng.randrange(40))) for _ in range(2000)), "x y, " * 200 + "z", None]
+    for column in (pa.array(texts, pa.string()), pa.array(["cut", *texts])[1:]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all(column)] == [plain(t) for t in texts]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
+
+
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=60))
 @settings(deadline=None, max_examples=60)
 def test_code_is_a_short_prefix_code(counts):
