@@ -1,8 +1,8 @@
 """Visible text of web pages, laid out as a reader sees it.
 
 A tree builder reads tags in any state of repair: it closes what HTML closes by itself (p before blocks; li, dt, dd,
-option, tr, td, th before their like), opens tr around loose cells, ignores end tags that match nothing and closes what
-is still open. Rendering drops what is not shown (head, scripts, styles, templates, hidden inputs, elements with the
+option, tr, td, th before their like; head before what cannot be in it), opens tr around loose cells, ignores end tags
+that match nothing and closes what is still open. Rendering drops what is not shown (head, scripts, styles, templates, hidden inputs, elements with the
 hidden attribute or with display:none or visibility:hidden in their style), separates blocks by line breaks and
 paragraphs, headings, lists and tables by an empty line, marks list items with '- ' or their number, indents nested
 lists and quotes, keeps pre as it is, and pads table cells to aligned columns.
@@ -35,6 +35,9 @@ BLOCK = frozenset(
     "table ul".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
+#: What stays in an open head; any other start tag, and text that is not white space, closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+SPACE = " \t\n\f\r"
 CLOSES_P = BLOCK - frozenset("li dd dt option optgroup legend summary body html".split())
 #: What an opening tag closes by itself, and the elements beyond which it does not look.
 CLOSES = {
@@ -92,7 +95,10 @@ def parse(page: str) -> Node:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
-            stack[-1].children.append(entities.unescape(text))
+            text = entities.unescape(text)
+            if stack[-1].tag == "head" and text.strip(SPACE):
+                stack.pop()
+            stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
@@ -109,6 +115,8 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body") and len(stack) == 1:
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "object", "caption"})
         if tag in CLOSES:

@@ -20,6 +20,9 @@ CASES = [
     ("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "a in | ner | b"),
     ("a<script>var t='</p><p>x'</script>b<style>p{}</style><!-- no > --> c<!DOCTYPE html>", "ab c"),
     ("<head><title>t</title></head><body>b", "b"),
+    ("<html><head><title>t</title><p>Hello", "Hello"),
+    ("<head>\n<meta charset=u><link rel=x>\n<style>p{}</style><script>s()</script>\n<noscript>n</noscript><template>m</template><title>t</title>\nHello <b>you", "Hello you"),
+    ("<div>a<head>b</div>c", "ab\nc"),
     ("<p hidden>x</p><p style='color:red; DISPLAY : none'>y</p><p style='display:block'>z</p><input type=hidden value=v>", "z"),
     ("<span style=visibility:hidden>x</span>y", "y"),
     ("<pre>  a\n\tb &lt;\n</pre>c", "  a\n        b <\n\nc"),
