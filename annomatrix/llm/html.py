@@ -2,10 +2,21 @@
 
 A tree builder reads tags in any state of repair: it closes what HTML closes by itself (p before blocks; li, dt, dd,
 option, tr, td, th before their like; head before what cannot be in it), opens tr around loose cells, ignores end tags
-that match nothing and closes what is still open. Rendering drops what is not shown (head, scripts, styles, templates, hidden inputs, elements with the
-hidden attribute or with display:none or visibility:hidden in their style), separates blocks by line breaks and
-paragraphs, headings, lists and tables by an empty line, marks list items with '- ' or their number, indents nested
-lists and quotes, keeps pre as it is, and pads table cells to aligned columns.
+that match nothing and closes what is still open. In svg and math it follows
+the rules for foreign content: tags may close themselves, and HTML tags that cannot be there end it.
+
+Rendering separates blocks by line breaks and paragraphs, headings, lists and tables by an empty line, marks list items
+with '- ' or their number, indents nested lists and quotes, keeps pre as it is, and pads table cells to aligned columns.
+Labels of svg (text, foreignObject) are set apart by spaces, as are cells of formulas; a fraction is written with '/'.
+A select shows its option marked as selected, or all of a list box (multiple, or of a size above 1).
+
+What is not shown is dropped: head, title, script, style, template, noscript, datalist; what stands in for the content
+of iframe, object, audio, video, canvas, noembed and noframes; hidden inputs, elements with the hidden attribute or with
+display:none or visibility:hidden in their style (of svg, in their attributes too); of svg title, desc, metadata, defs
+and what else is drawn only by reference, and text outside of labels; of math annotations and phantoms; all but the
+first branch of switch, semantics and maction. Also dropped, though browsers show it: the first option of a drop-down
+of which none is marked as selected, labels in svg defs or symbol that use draws, texts in attributes (alt, value,
+placeholder) and signs that formulas draw (radicals). Style sheets are not read.
 
 A null page has a null text, an empty one an empty text. Rows are rendered one by one: a null page_id or a repeated
 page gives its own row. Any length and depth is rendered whole; tables nested more than NESTED deep run as blocks.
@@ -28,7 +39,7 @@ HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden
 #: Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
@@ -39,6 +50,21 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr"
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 SPACE = " \t\n\f\r"
 CLOSES_P = BLOCK - frozenset("li dd dt option optgroup legend summary body html".split())
+#: HTML start tags that end svg or math, and what these hold without showing it.
+LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FONT = re.compile(r"(?:^|\s)(?:color|face|size)\s*(?:=|\s|/|$)", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/$")
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+FIRST_ONLY = frozenset("switch semantics maction".split())
+#: Elements of svg and math whose content is HTML.
+HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+BETWEEN = {"mfrac": "/", "mtr": " ", "mlabeledtr": " ", "mtable": " "}
 #: What an opening tag closes by itself, and the elements beyond which it does not look.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,10 +82,13 @@ NESTED = 8
 
 
 class Node:
-    __slots__ = ("children", "hidden", "span", "start", "tag")
+    """space is the kind of element: '' (HTML), svg or math; inner is that of its children, svg-text within labels."""
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1):
+    __slots__ = ("attributes", "children", "hidden", "inner", "space", "span", "start", "tag")
+
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1, attributes: dict[str, str] | None = None):
         self.tag, self.hidden, self.start, self.span = tag, hidden, start, span
+        self.attributes, self.space, self.inner = attributes or {}, "", ""
         self.children: list[Node | str] = []
 
 
@@ -74,7 +103,22 @@ def _node(tag: str, attributes: str) -> Node:
     for m in ATTRIBUTE.finditer(attributes):
         a.setdefault(m[1].lower(), entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
     hidden = "hidden" in a or bool(HIDING.search(a.get("style", ""))) or tag == "input" and a.get("type", "").lower() == "hidden"
-    return Node(tag, hidden, _number(a.get("start"), -999_999, 999_999, 1), _number(a.get("colspan"), 1, 100, 1))
+    return Node(tag, hidden, _number(a.get("start"), -999_999, 999_999, 1), _number(a.get("colspan"), 1, 100, 1), a)
+
+
+def _foreign(tag: str, attributes: str, parent: Node) -> Node:
+    """An element of svg or math."""
+    node = _node(tag, attributes)
+    a = node.attributes
+    node.space = tag if tag in FOREIGN_UNSEEN else parent.inner.removesuffix("-text")
+    is_html = tag in HOLDS_HTML[node.space] or tag == "annotation-xml" and a.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+    text = node.space == "svg" and tag != "svg" and (tag == "text" or parent.inner == "svg-text")
+    node.inner = "" if is_html else "svg-text" if text else node.space
+    unseen = tag in FOREIGN_UNSEEN[node.space] or parent.space and parent.tag in FIRST_ONLY and any(isinstance(c, Node) for c in parent.children)
+    if node.space == "svg":
+        unseen = unseen or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")
+    node.hidden = node.hidden or bool(unseen)
+    return node
 
 
 def parse(page: str) -> Node:
@@ -83,9 +127,10 @@ def parse(page: str) -> Node:
     stack = [root]
     at, n = 0, len(page)
 
-    def close(until: set[str], fence: set[str]) -> None:
+    def close(until: set[str], fence: set[str], within: int = n + 1) -> None:
+        # HTML in svg or math closes nothing outside; an end tag of svg or math at that point does.
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in fence:
+            if stack[i].tag in fence or stack[i].space and not stack[i].inner and i < within:
                 return
             if stack[i].tag in until:
                 del stack[i:]
@@ -98,25 +143,42 @@ def parse(page: str) -> Node:
             text = entities.unescape(text)
             if stack[-1].tag == "head" and text.strip(SPACE):
                 stack.pop()
-            stack[-1].children.append(text)
+            if stack[-1].inner != "svg":
+                stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
         if m[2] is None:
+            if stack[-1].space and page.startswith("<![CDATA[", m.start()):
+                end = page.find("]]>", m.start())
+                end = end if end >= 0 else n
+                if stack[-1].inner != "svg":
+                    stack[-1].children.append(page[m.start() + 9 : end])
+                at = end + 3
             continue
         tag = m[2].lower()
+        if stack[-1].inner and (tag in ("p", "br") if m[1] else tag in LEAVES or tag == "font" and FONT.search(m[3])):
+            while stack[-1].inner:
+                stack.pop()
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
             elif tag == "p" and all(x.tag != "p" for x in stack):
                 stack[-1].children.append(Node("p"))
             else:
-                close({tag}, {"td", "th"} if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {tag})
+                close({tag}, {"td", "th"} if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {tag}, len(stack) - 1)
             continue
         if tag in ("html", "body") and len(stack) == 1:
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
+        if stack[-1].inner or tag in FOREIGN_UNSEEN:
+            node = _foreign(tag, m[3], stack[-1])
+            own_line = tag == "math" and not stack[-1].inner and node.attributes.get("display", "").lower() == "block"
+            stack[-1].children.append(_line(node) if own_line else node)
+            if not m[3].endswith("/") or UNQUOTED.search(m[3]):
+                stack.append(node)
+            continue
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "object", "caption"})
         if tag in CLOSES:
@@ -140,6 +202,57 @@ def parse(page: str) -> Node:
     return root
 
 
+def _line(node: Node) -> Node:
+    out = Node("div")
+    out.children.append(node)
+    return out
+
+
+def _inside(node: Node) -> list[Node | str]:
+    """The children that an element shows, with what sets them apart."""
+    if node.tag == "select":
+        return _options(node)
+    if not node.space:
+        return node.children
+    if node.tag in ("text", "foreignobject") or node.tag == "tspan" and node.attributes.keys() & {"x", "y"}:
+        return [" ", *node.children, " "]
+    if node.tag not in BETWEEN:
+        return node.children
+    between = " " if re.match(r"\s*0", node.attributes.get("linethickness", "")) else BETWEEN[node.tag]
+    out: list[Node | str] = []
+    for child in node.children:
+        if isinstance(child, Node) or child.strip():
+            out += [between, child] if out else [child]
+    return out
+
+
+def _options(select: Node) -> list[Node | str]:
+    a = select.attributes
+    box = "multiple" in a or _number(a.get("size"), 0, 999_999, 0) > 1
+    out: list[Node | str] = []
+    todo = list(reversed(select.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or box and node.hidden or node.tag in UNSEEN:
+            continue
+        label = node.attributes.get("label")
+        if node.tag == "option":
+            shown = [label] if label else node.children
+            if box:
+                option = Node("option")
+                option.children = shown
+                out.append(option)
+            elif "selected" in node.attributes:
+                out = [" ", *shown, " "]
+            continue
+        if node.tag == "optgroup" and label and box:
+            group = Node("optgroup")
+            group.children = [label]
+            out.append(group)
+        todo += reversed(node.children)
+    return out
+
+
 class Layout:
     """Lines of text with the spacing of blocks."""
 
@@ -221,7 +334,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             out.gap()
             continue
         if tag not in BLOCK:
-            todo += [("open", c) for c in reversed(node.children)]
+            todo += [("open", c) for c in reversed(_inside(node))]
             continue
         nested = tag in ("ul", "ol", "menu", "dir") and bool(lists)
         out.flush() if tag not in SPACED or nested else out.gap()
@@ -251,7 +364,7 @@ def _plain(root: Node) -> str:
             parts.append(node)
         elif not node.hidden and node.tag not in UNSEEN:
             parts.append("\n" * (node.tag == "br"))
-            todo += reversed(node.children)
+            todo += reversed(_inside(node))
     return "".join(parts)
 
 

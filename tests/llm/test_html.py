@@ -23,6 +23,15 @@ CASES = [
     ("<html><head><title>t</title><p>Hello", "Hello"),
     ("<head>\n<meta charset=u><link rel=x>\n<style>p{}</style><script>s()</script>\n<noscript>n</noscript><template>m</template><title>t</title>\nHello <b>you", "Hello you"),
     ("<div>a<head>b</div>c", "ab\nc"),
+    ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>n</mi></mfrac></math> b", "a x=1/n b"),
+    ("<math display=block><semantics><mi>y</mi><annotation encoding=tex>no</annotation><annotation-xml encoding=text/html><div>no</div></annotation-xml></semantics></math>z", "y\nz"),
+    ("a<svg>no<title>no</title><desc>no</desc><defs><text>no</text></defs><style/><path d='M0'/><text>in<tspan>ner</tspan></text><text>out</text></svg>b", "a inner out b"),
+    ("<p>a<svg><switch><foreignObject><div>label</div></foreignObject><text>no</text></switch></svg>b", "a\nlabel\nb"),
+    ("<svg><text display=none>no</text><text><![CDATA[x < y > z]]></text></svg>", "x < y > z"),
+    ("<svg><defs><path><p>text<b>bold", "textbold"),
+    ("<pre><svg><text>a</text></svg></pre>", " a"),
+    ("a<select><option>no<option selected>yes<option label=no>no</select>b", "a yes b"),
+    ("<select multiple><optgroup label=g><option>p<option label=q>no</optgroup><option hidden>no</select>", "g\np\nq"),
     ("<p hidden>x</p><p style='color:red; DISPLAY : none'>y</p><p style='display:block'>z</p><input type=hidden value=v>", "z"),
     ("<span style=visibility:hidden>x</span>y", "y"),
     ("<pre>  a\n\tb &lt;\n</pre>c", "  a\n        b <\n\nc"),
