@@ -6,7 +6,8 @@ that match nothing and closes what is still open. In svg and math it follows
 the rules for foreign content: tags may close themselves, and HTML tags that cannot be there end it.
 
 Rendering separates blocks by line breaks and paragraphs, headings, lists and tables by an empty line, marks list items
-with '- ' or their number, indents nested lists and quotes, keeps pre as it is, and pads table cells to aligned columns.
+with '- ' or their number, indents nested lists and quotes, keeps pre as it is, and pads table cells to aligned
+columns, also below cells that span rows.
 Labels of svg (text, foreignObject) are set apart by spaces, as are cells of formulas; a fraction is written with '/'.
 A select shows its option marked as selected, or all of a list box (multiple, or of a size above 1).
 
@@ -27,7 +28,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -82,12 +86,12 @@ NESTED = 8
 
 
 class Node:
-    """space is the kind of element: '' (HTML), svg or math; inner is that of its children, svg-text within labels."""
+    """span and down are the columns and rows of a cell, a down of 0 being all that its row group still has. space is the kind of element: '' (HTML), svg or math; inner is that of its children, svg-text within labels."""
 
-    __slots__ = ("attributes", "children", "hidden", "inner", "space", "span", "start", "tag")
+    __slots__ = ("attributes", "children", "down", "hidden", "inner", "space", "span", "start", "tag")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1, attributes: dict[str, str] | None = None):
-        self.tag, self.hidden, self.start, self.span = tag, hidden, start, span
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1, down: int = 1, attributes: dict[str, str] | None = None):
+        self.tag, self.hidden, self.start, self.span, self.down = tag, hidden, start, span, down
         self.attributes, self.space, self.inner = attributes or {}, "", ""
         self.children: list[Node | str] = []
 
@@ -96,6 +100,11 @@ def _number(text: str | None, least: int, most: int, default: int) -> int:
     return min(most, max(least, int(text))) if text and re.fullmatch(r"-?\d{1,6}", text.strip()) else default
 
 
+def _rows(text: str | None) -> int:
+    n = _number(text, -1, 65_534, 1)
+    return n if n >= 0 else 1
+
+
 def _node(tag: str, attributes: str) -> Node:
     if not attributes.strip(" /"):
         return Node(tag)
@@ -103,7 +112,7 @@ def _node(tag: str, attributes: str) -> Node:
     for m in ATTRIBUTE.finditer(attributes):
         a.setdefault(m[1].lower(), entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
     hidden = "hidden" in a or bool(HIDING.search(a.get("style", ""))) or tag == "input" and a.get("type", "").lower() == "hidden"
-    return Node(tag, hidden, _number(a.get("start"), -999_999, 999_999, 1), _number(a.get("colspan"), 1, 100, 1), a)
+    return Node(tag, hidden, _number(a.get("start"), -999_999, 999_999, 1), _number(a.get("colspan"), 1, 1000, 1), _rows(a.get("rowspan")), a)
 
 
 def _foreign(tag: str, attributes: str, parent: Node) -> Node:
@@ -368,13 +377,34 @@ def _plain(root: Node) -> str:
     return "".join(parts)
 
 
+def _placed(cells: list[tuple[str, int, int]], held: list[tuple[int, int, int]]) -> tuple[list, list]:
+    """The cells (text, span, down) of a row as (column, text, span), with empty ones where cells from above hold
+    columns (column, span, rows left, 0 without end) up to the last cell; and what is held of the next row."""
+    row, at, last = [], 0, 0
+    ahead = deque(held)
+    down_from = [(lo, span, left and left - 1) for lo, span, left in held if left != 1]
+    for text, span, down in cells:
+        while ahead and ahead[0][0] <= at:
+            lo, wide, _ = ahead.popleft()
+            if lo + wide > at:
+                row.append((at, "", lo + wide - at))
+                at = lo + wide
+        row.append((at, text, span))
+        last = len(row)
+        if down != 1:
+            down_from.append((at, span, down and down - 1))
+        at += span
+    return row[:last], sorted(down_from)
+
+
 def table(root: Node, depth: int) -> list[str]:
     """Rows with cells padded to the width of their column; a cell's lines are joined by a space. Cells that span
-    columns, and captions, do not widen a column."""
+    columns, and captions, do not widen a column. Below a cell that spans rows its columns stay empty."""
     captions, rows = [], []
-    todo = list(reversed(root.children))
+    group, held = root, []  # the row group, and what its cells hold of the next row
+    todo = [(c, root) for c in reversed(root.children)]
     while todo:
-        node = todo.pop()
+        node, parent = todo.pop()
         if isinstance(node, str):
             if node.strip():
                 captions.append(" ".join(node.split()))
@@ -386,27 +416,28 @@ def table(root: Node, depth: int) -> list[str]:
             loose.children = [c for c in node.children if isinstance(c, str) or c.tag not in ("td", "th")]
             extra = " ".join(" ".join(render(loose, depth)).split()) if loose.children else ""
             captions += [extra] * bool(extra)
-            rows.append([(" ".join(x for x in render(c, depth) if x), c.span) for c in cells])
+            held = held if parent is group else []
+            group = parent
+            row, held = _placed([(" ".join(x for x in render(c, depth) if x), c.span, c.down) for c in cells], held)
+            rows.append(row)
         elif node.tag in ("thead", "tbody", "tfoot", "colgroup"):
-            todo += reversed(node.children)
+            todo += [(c, node) for c in reversed(node.children)]
         else:
             wrap = Node("div")
             wrap.children = [node]
             captions += [x for x in render(wrap, depth) if x]
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
+        for at, text, span in row:
+            widths[at] = max(widths.get(at, 0), len(text) if span == 1 else 0)
+    used = sorted(widths)  # columns in which a cell begins
+    before = [0, *accumulate(widths[i] + 3 for i in used)]
     lines = list(captions)
     for row in rows:
-        at, parts = 0, []
-        for text, span in row:
-            room = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
+        parts = []
+        for at, text, span in row:
+            room = before[bisect_left(used, at + span)] - before[bisect_left(used, at)] - 3
             parts.append(text.ljust(room))
-            at += span
         if any(p.strip() for p in parts):
             lines.append(" | ".join(parts).rstrip())
     return lines

@@ -16,6 +16,9 @@ CASES = [
     ("<table><tr><th>Name<th>N</tr><tr><td>long name<td>1<tr><td>x<td>22</table>", "Name      | N\nlong name | 1\nx         | 22"),
     ("<table><td>a<td>b</table>", "a | b"),
     ("<table><tr><td colspan=2>wide cell here</td><td>z</td></tr><tr><td>a<td>b<td>c</table>", "wide cell here | z\na | b | c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g<td>h<td>i</table>", "a | b     | c\nd |       | e\nf | g | h | i"),
+    ("<table><tr><td colspan=150>a<td rowspan=-1>b<tr><td colspan=150>cc<td>d<tr><td colspan=100>e<td colspan=50>f<td>g</table>", "a   | b\ncc  | d\ne | f | g"),
     ("<table><caption>Cap</caption><tr><td><ul><li>p<li>q</ul><td>r</table>", "Cap\n- p - q | r"),
     ("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "a in | ner | b"),
     ("a<script>var t='</p><p>x'</script>b<style>p{}</style><!-- no > --> c<!DOCTYPE html>", "ab c"),
