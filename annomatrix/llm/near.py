@@ -14,9 +14,11 @@
 6. Components of all links by large-star and small-star.
 
 Null texts and texts without words have an empty set and are linked with nothing. Rows of a null doc_id stand alone:
-component_id is null and kept is true. Rows that share a doc_id are in one component by its id; kept is then true for
-each of them, and keep() returns all of them if their component is theirs. An empty table gives none. Extra columns are
-not read.
+component_id is null and kept is true. Rows that share a doc_id are in one component, with all that any of their texts is
+linked to; kept is then true for each of them if the component's smallest id is theirs. keep() goes by text instead, as
+a shared id makes no copy: of each component of links one row stays, of its smallest doc_id, so that no text goes
+without a near copy that stays, and an empty text stays once for its doc_id. An empty table gives none. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -81,6 +83,22 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, at_once: int = 10
     return out
 
 
+def digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that identify a set; zero for the empty one."""
+    return mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
+
+
+def digests(text: Column, shingle: int) -> Column:
+    """d1 and d2 of each text."""
+
+    @F.pandas_udf("d1 long, d2 long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        both = [digest(s) for _, s in shingle_sets(pa.array(texts, pa.string()), shingle)]
+        return pd.DataFrame(signed(np.array(both, dtype=np.uint64).reshape(-1, 2)), columns=["d1", "d2"])
+
+    return run(text.cast("string"))
+
+
 def signatures(docs: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, bands): d1 and d2 identify the set, bands holds one hash per band."""
     rows, bands = plan(percent)
@@ -93,8 +111,9 @@ def signatures(docs: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFra
             n, d1, d2, keys = [], [], [], np.zeros((len(batch), bands), dtype=np.uint64)
             for i, s in shingle_sets(batch.column("text"), shingle):
                 n.append(len(s))
-                d1.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                d2.append(mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
+                one, two = digest(s)
+                d1.append(one)
+                d2.append(two)
                 if len(s):
                     m = minima(s, a, b).reshape(bands, rows).astype(np.uint64)
                     keys[i] = mix(mix((m + np.uint64(1)) * weight).sum(1, dtype=np.uint64) + number)
@@ -159,21 +178,36 @@ def _confirm(percent: int, shingle: int):
     return run
 
 
-def _compare(docs: DataFrame, members: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _compare(text: DataFrame, members: DataFrame, percent: int, shingle: int) -> DataFrame:
     """members (node, task..., asks): confirmed links (u, v), a forest per task, among the nodes of each task of which
     one asks."""
     task = [c for c in members.columns if c not in ("node", "asks")]
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     return members.join(text, "node").groupBy(*task).applyInPandas(_confirm(percent, shingle), "u long, v long")
 
 
-def near_classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def _links(docs: DataFrame, percent: int, shingle: int, block_docs: int, block_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The signatures of all rows; classes (d1, d2, id, node), id being the smallest doc_id and node a number of the
+    class, its id unless another class has that; confirmed links (u, v) of nodes; and the doc_ids of several sets, None
+    without any."""
     if not 0 < percent <= 100:
         raise ValueError("a similarity lies in (0, 100] %")
     rows = materialize(signatures(docs, percent, shingle), "signatures")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    one_set = F.struct("d1", "d2")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(one_set).alias("least"), F.max(one_set).alias("most"))
+    several = materialize(several.where("least <> most").select("doc_id"), "ids-of-several-sets")
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.col("id")), "classes")
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    if several.isEmpty():
+        several = None
+    else:
+        first = classes.groupBy("id").agg(F.min(one_set).alias("first"))
+        node = F.when(F.col("first") == one_set, F.col("id")).otherwise(F.xxhash64("id", "d1", "d2"))
+        classes = materialize(classes.join(first, "id").withColumn("node", node).drop("first"), "classes-by-set")
+        ids = several.withColumnRenamed("doc_id", "node")
+        mixed = own.join(ids, "node", "left_semi").withColumnRenamed("node", "id").withColumn("set", digests(F.col("text"), shingle))
+        mixed = mixed.select("id", "text", "set.d1", "set.d2").join(classes.select("id", "d1", "d2", "node"), ["id", "d1", "d2"])
+        own = materialize(own.join(ids, "node", "left_anti").unionByName(mixed.select("node", "text")), "texts-by-set")
 
     keys = classes.select("node", F.explode("bands").alias("key"))
     centre = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("key", "v")
@@ -187,7 +221,7 @@ def near_classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, blo
     placed = materialize(placed, "clusters")
     tasks = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("node", "component", F.explode(tasks).alias("task"), F.lit(True).alias("asks"))
-    links = materialize(_compare(docs, first, percent, shingle), "links")
+    links = materialize(_compare(own, first, percent, shingle), "links")
 
     if not placed.where("blocks > 1").isEmpty():
         large = placed.where("blocks > 1").join(components(links).withColumnRenamed("component", "now"), "node", "left")
@@ -203,26 +237,56 @@ def near_classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, blo
             asking = asking.select("node", "component", "team", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("task"), F.lit(True).alias("asks"))
             asked = large.join(counted, "component").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"), F.col("block").alias("task"), F.lit(False).alias("asks"))
             asked = asked.join(asking.select("node", "component", "team", "task"), ["node", "component", "team", "task"], "left_anti")
-            links = links.unionByName(materialize(_compare(docs, asking.unionByName(asked), percent, shingle), "more-links"))
+            links = links.unionByName(materialize(_compare(own, asking.unionByName(asked), percent, shingle), "more-links"))
 
-    found = components(links)
-    by_class = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    by_id = rows.where("n_shingles > 0 and doc_id is not null").join(by_class, ["d1", "d2"]).select("doc_id", "component")
-    # Rows that share a doc_id may have different sets; all of them take the smallest component.
-    by_id = by_id.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = rows.join(by_id, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rows, classes.select("d1", "d2", "id", "node"), links, several
 
 
-def keep(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose document is the one that stays of its component; of rows that share a doc_id and are
-    kept, one stays, the one of the smallest text."""
-    kept = near_classes(docs.select("doc_id", "text"), percent, shingle).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    once = Window.partitionBy("_kept").orderBy(F.xxhash64("text"), "text")  # rows of one doc_id
+def near_classes(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    rows, classes, links, several = _links(docs, percent, shingle, block_docs, block_shingles)
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    if several is not None:
+        held = full.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select("doc_id", "node")
+        least = held.groupBy("doc_id").agg(F.min("node").alias("v"))
+        links = links.unionByName(held.join(least, "doc_id").select(F.col("node").alias("u"), "v"))
+    found = components(links)
+    by_class = classes.join(found, "node", "left").select("d1", "d2", "id", F.coalesce("component", "node").alias("component"))
+    if several is not None:  # a node may then be other than an id
+        by_class = by_class.join(by_class.groupBy("component").agg(F.min("id").alias("least")), "component").select("d1", "d2", F.col("least").alias("component"))
+    by_id = full.join(by_class, ["d1", "d2"]).select("doc_id", "component").distinct()
+    out = rows.join(by_id, "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row of each component of links, that of its smallest doc_id; of such rows of one set, that of the smallest
+    text. Rows of a null doc_id stay, and one row without words of each doc_id."""
+    rows, classes, links, several = _links(docs.select("doc_id", "text"), percent, shingle, block_docs, block_shingles)
+    by_class = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if several is None:
+        stay = by_class.where("node = component")
+    else:
+        stay = by_class.groupBy("component").agg(F.min(F.struct("id", "d1", "d2")).alias("least")).select("least.*")
+    empty = rows.where("n_shingles = 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "d1", "d2")
+    stay = materialize(stay.select("id", "d1", "d2").unionByName(empty.distinct()), "stay")
     names = docs.columns
-    stay = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept")).withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*names)
-    return stay.unionByName(docs.where("doc_id is null"))
+    own = docs.where("doc_id is not null").withColumn("_kept", F.col("doc_id").cast("long"))
+
+    def once(found: DataFrame, *key: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"), "text"))
+        return found.withColumn("_nth", nth).where("_nth = 1").select(*names)
+
+    ids = stay.select(F.col("id").alias("_kept"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
+    null = docs.where("doc_id is null")
+    if several is None:
+        return once(own.join(ids.select("_kept"), "_kept"), "_kept").unionByName(null)
+    several = several.select(F.col("doc_id").alias("_kept"))
+    single = own.join(several, "_kept", "left_anti").join(ids.select("_kept"), "_kept")
+    mixed = own.join(several, "_kept", "left_semi").withColumn("_set", digests(F.col("text"), shingle))
+    mixed = mixed.withColumns({"_d1": F.col("_set.d1"), "_d2": F.col("_set.d2")}).join(ids, ["_kept", "_d1", "_d2"])
+    return once(single, "_kept").unionByName(once(mixed, "_kept", "_d1", "_d2")).unionByName(null)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

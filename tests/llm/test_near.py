@@ -73,6 +73,19 @@ def test_edges(spark, make_docs, edges):
     assert kept.columns == make_docs([], extra="component_id").columns
 
 
+def test_ids_of_several_texts(spark, make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, b), (4, b), (4, a), (5, a), (5, ""), (6, c), (6, c + " end"), (7, c), (7, a), (9, None), (9, b), (None, a)]
+    rows += [(10, "u v w x y z"), (10, "z y x w v u"), (11, "z y x w v u")]
+    docs = make_docs(rows)
+    assert result(near.near_classes(docs)) == brute(rows)
+    kept = {(r.doc_id, r.text) for r in near.keep(docs).collect()}
+    (of_c,) = {x for x in kept if x[0] == 6}
+    assert of_c[1].startswith(c)
+    want = {(3, b), (4, a), (5, ""), of_c, (9, None), (None, a), (10, rows[-3][1]), (10, rows[-2][1])}
+    assert kept == want and near.keep(docs).count() == len(want)
+
+
 def test_linked_matrix_and_forest():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(30)] + [np.zeros(0, dtype=np.uint64)]
