@@ -6,8 +6,8 @@ tell toxic from other labelled documents best.
 
 The labels are binary. Grade 0 is a document that is not toxic; toxic ones are split into grades 1 to GRADES by how many
 words they hold that are far more frequent in toxic documents, at even quantiles of that number. The model is fitted on
-at most MAX_TRAIN labelled documents, those of the smallest hashes of their id, whatever the size of the input; every
-document is then scored over its whole text.
+at most MAX_TRAIN labelled documents that are in the table, those of the smallest hashes of their id, whatever the size
+of the input; of rows that share an id it takes one text, that of the smallest hash. Every document is then scored over its whole text.
 
 A document labelled twice takes the larger label; null labels and ids do not count. Null and empty texts have no
 features. Without toxic labels, or without others, every severity is 0. A null doc_id is scored like others, repeated
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 MAX_TRAIN = 20_000
 VOCABULARY = 4096
 LEAST_DOCUMENTS = 4
@@ -97,9 +99,12 @@ def _counted(counts: dict[str, list[int]]) -> pd.DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabulary: int = VOCABULARY, grades: int = GRADES) -> Model:
     label = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    label = label.where("toxic in (0, 1)").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(max_train)
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    label = label.where("toxic in (0, 1)").join(text.select("id"), "id", "left_semi")
+    label = label.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(max_train)
     train = text.join(F.broadcast(label), "id")  # at most max_train rows of two numbers
+    train = train.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    train = materialize(train, "train")
     totals = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Model(thresholds=np.full(grades, np.inf))

@@ -45,6 +45,17 @@ def test_held_out_accuracy(spark, make_docs):
     assert kept.columns == docs.columns and kept.count() == sum(not r.rejected for r in got.values())
 
 
+def test_training_rows_are_bounded(spark, make_docs, monkeypatch):
+    rows = [(i, ("snarl " if i % 2 else "calm ") + f"w{i}", i % 2) for i in range(40)]
+    docs = make_docs([r[:2] for r in rows] + [(1, "snarl again")] * 300)
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(i, 0) for i in range(1000, 3000)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda r, c, grades, *a, **b: seen.append(len(grades)) or fit(r, c, grades, *a, **b))
+    toxicity.fit(docs, labels, max_train=30)
+    assert seen == [30]
+
+
 def test_edges(spark, make_docs, edges):
     docs = make_docs(edges)
     schema = "doc_id long, toxic int"
