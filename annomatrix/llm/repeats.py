@@ -8,12 +8,13 @@ distinct span gives its windows one by one, and those that agree with another ar
 make up the maximal repeats, whose words are removed everywhere.
 
 No pair of occurrences is ever made: groups are counted, with partial sums, and the counts are joined back, those of
-keys with a large share of the rows by a bounded broadcast. Anchors and spans are 64-bit hashes each, taken together;
-windows have 128 bits.
+keys with a large share of the rows by a bounded broadcast. Anchors and spans are 64-bit hashes of different lanes (see
+words.py), taken together; windows have both lanes.
 
 Windows are judged on the input. Null texts have no words; texts shorter than a window keep them. Rows that share
 doc_id and text are separate occurrences, so both lose what they share. A null doc_id is a document like others. An
-empty table gives none. Columns of the input named as the added ones are replaced.
+empty table gives none. Texts of any length are read whole. Columns of the input named as the added ones (n_words,
+n_removed, kept_sha256) are replaced; other names are free.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import materialize, scratch
 from .skew import join_counted
 from .words import Runs, chunks, mix, signed
 
@@ -35,6 +36,7 @@ WINDOW = 35
 ANCHOR = 10
 NO_ID = -(2**63)
 KEY = ["_id", "_mark"]
+ADDED = ["n_words", "n_removed", "kept_sha256"]
 
 
 def winnow(grams: np.ndarray, width: int) -> np.ndarray:
@@ -66,20 +68,22 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, anchor: int) ->
     if not len(starts):
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.int32),) + (np.zeros(0, dtype=np.uint64),) * 2
     at = np.arange(len(hashes) - anchor + 1)
-    grams = Runs(hashes, 1).of(at, at + anchor)
+    grams = Runs(hashes, 0).of(at, at + anchor)
     chosen = winnow(grams, window - anchor + 1)[starts]
     new = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     many = np.diff(np.append(new, len(starts)))
     first, place = starts[new], chosen[new]
-    span = Runs(hashes, 2).of(first, first + many - 1 + window)
+    span = Runs(hashes, 1).of(first, first + many - 1 + window)
     span = mix(span + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + many.astype(np.uint64))
     text = np.searchsorted(bounds, first, side="right") - 1
     return text, first - bounds[text], many.astype(np.int32), grams[place], span
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_mark")]
-    return docs.select("*", *key)
+    """row (all columns), text, _id and _mark, which tell documents apart."""
+    text = F.col("text").cast("string")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark")]
+    return docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), *key)
 
 
 def occurrences(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -102,7 +106,7 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids, marks, wanted = batch.column("_id").to_numpy(), batch.column("_mark").to_numpy(), batch.column("wanted").to_pylist()
             for lo, hashes, bounds in chunks(batch.column("text")):
-                one, two = Runs(hashes, 1), Runs(hashes, 2)
+                one, two = Runs(hashes, 0), Runs(hashes, 1)
                 for i in range(len(bounds) - 1):
                     pairs = wanted[lo + i]
                     if not pairs:
@@ -118,26 +122,29 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
 
 def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(_id, _mark, first, many): runs of windows that start elsewhere too."""
-    seen = materialize(occurrences(keyed, window, anchor), "anchors")
-    more = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1"))
-    more = more.where("n > 1").select("anchor", "n", (F.col("s0") != F.col("s1")).alias("differ"))
-    shared = materialize(join_counted(seen, more, ["anchor"], "repeated-anchors").drop("n"), "shared-anchors")
-    alike = shared.where("not differ").select(*KEY, "first", "many")
-    differ = shared.where("differ")
-    place = F.struct(*KEY, "first", "many")
-    spans = differ.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
-    whole = join_counted(differ, spans.where("n > 1").select("anchor", "span", "n"), ["anchor", "span"], "repeated-spans").select(*KEY, "first", "many")
-    wanted = spans.select("place.*").groupBy(*KEY).agg(F.collect_set(F.struct("first", "many")).alias("wanted"))
-    single = materialize(windows(keyed.select(*KEY, "text").join(wanted, KEY), window), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    some = join_counted(single, twice, ["w1", "w2"], "repeated-windows").select(*KEY, "first", F.lit(1).alias("many"))
-    return alike.unionByName(whole).unionByName(some)
-
-
-def _cut(window: int, names: list[str]):
+    with scratch(keyed.sparkSession) as kept:
+        seen = materialize(occurrences(keyed, window, anchor), "anchors")
+        more = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("s0"), F.max("span").alias("s1"))
+        more = more.where("n > 1").select("anchor", "n", (F.col("s0") != F.col("s1")).alias("differ"))
+        shared = materialize(join_counted(seen, more, ["anchor"], "repeated-anchors").drop("n"), "shared-anchors")
+        alike = shared.where("not differ").select(*KEY, "first", "many")
+        differ = shared.where("differ")
+        place = F.struct(*KEY, "first", "many")
+        spans = differ.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+        whole = join_counted(differ, spans.where("n > 1").select("anchor", "span", "n"), ["anchor", "span"], "repeated-spans").select(*KEY, "first", "many")
+        wanted = spans.select("place.*").groupBy(*KEY).agg(F.collect_set(F.struct("first", "many")).alias("wanted"))
+        single = materialize(windows(keyed.select(*KEY, "text").join(wanted, KEY), window), "windows")
+        twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        some = join_counted(single, twice, ["w1", "w2"], "repeated-windows").select(*KEY, "first", F.lit(1).alias("many"))
+        out = materialize(alike.unionByName(whole).unionByName(some), "repeated-ranges")
+        kept.append(out)
+    return out
+
+
+def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ranges = batch.column("_text"), batch.column("_ranges")
+            texts, ranges = batch.column("text"), batch.column("ranges")
             out, n_words, n_removed, sums = [], [], [], []
             for i in range(len(batch)):
                 text, found = texts[i].as_py(), ranges[i].as_py()
@@ -153,8 +160,8 @@ def _cut(window: int, names: list[str]):
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 sums.append(hashlib.sha256(joined).hexdigest())
-            new = {"text": pa.array(out, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string())}
-            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
+            new = [pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], names=["row", "text", *ADDED])
 
     return run
 
@@ -164,16 +171,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     space). A text that loses nothing stays as it is; another becomes its kept words joined by one space."""
     if not 0 < anchor <= window:
         raise ValueError("an anchor lies within a window")
-    docs = docs.withColumn("text", F.col("text").cast("string"))
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, window, anchor)
-    by_doc = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "many")).alias("_ranges"))  # at most a document's windows
-    added = ["n_words", "n_removed", "kept_sha256"]
-    plain = [f for f in docs.schema.fields if f.name not in added]
-    names = [f.name for f in plain] + added
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain] + [T.StructField(n, T.LongType(), True) for n in added[:2]] + [T.StructField(added[2], T.StringType(), True)])
-    joined = keyed.join(by_doc, KEY, "left").withColumn("_text", F.col("text"))
-    return joined.select(*[f.name for f in plain], "_text", "_ranges").mapInArrow(_cut(window, names), schema)
+    by_doc = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "many")).alias("ranges"))  # at most a document's windows
+    joined = keyed.join(by_doc, KEY, "left")
+    others = [c for c in docs.columns if c not in ("text", *ADDED)]  # text comes apart, and is replaced
+    row = F.struct(F.lit(True).alias("_row"), *[F.col("row")[c].alias(c) for c in others])
+    joined = joined.select(row.alias("row"), "text", "ranges")
+    kind = T.StructType([T.StructField("row", joined.schema["row"].dataType, True), T.StructField("text", T.StringType(), True)])
+    kind = kind.add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
+    out = joined.mapInArrow(_cut(window), kind)
+    names = [c for c in docs.columns if c not in ADDED]
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names], *ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+_scopes: list[set[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, as in a local test, a temporary folder is set."""
+    """spark.checkpoint.dir of the session. Where it is unset, a session of one machine gets a temporary folder, and
+    one on a cluster an error, as no folder of a single machine is seen by the others."""
     found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT, None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT} to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(CHECKPOINT, found)
     return found
@@ -25,8 +34,54 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to a new path of the shared folder and reads it again, so that a lost executor costs no
-    recomputation of what came before."""
+    recomputation of what came before. Inside scratch() the table is dropped at the end; the tables that a lazy result
+    still reads stay in the folder for its owner to clear."""
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Drops the tables made inside it, but for those put on the list, which go over to the scope outside."""
+    kept: list[DataFrame] = []
+    _scopes.append(set())
+    try:
+        yield kept
+    finally:
+        made = _scopes.pop()
+        stay = {df.table_path for df in kept} & made
+        for path in made - stay:
+            drop(spark, path)
+        if _scopes:
+            _scopes[-1] |= stay
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the integer columns keys, for input sorted by them. One run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], 1)
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        edges = [0, *cuts.tolist(), len(batch)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and last != tuple(k[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(k[a])
+    if held:
+        yield pa.Table.from_batches(held)

@@ -117,6 +117,55 @@ def test_bands():
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
 
 
+def test_words_that_a_polynomial_hash_confuses(spark, make_docs):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, other + " " + one), (4, one + " " + other)]
+    assert result(near.near_classes(make_docs(rows))) == brute(rows)
+
+
+def test_boilerplate_is_ruled_out_by_signatures(spark, make_docs, monkeypatch):
+    """Pages that share two thirds of their words chain by bands; few of their pairs are compared on whole sets."""
+    rng = random.Random(9)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    frame, rows = say(120), []
+    for i in range(300):
+        rows.append((i, " ".join(frame + say(60))))
+        if i % 50 == 0:
+            rows += [(1000 + 10 * i + k, rows[-1][1] + f" end{k}") for k in range(5)]
+    compared, real = [], near._confirm
+
+    def counted(tasks, texts, by, *rest):
+        groups = tasks.groupBy(*by).agg({"*": "count"}).collect()
+        compared.append(sum(r["count(1)"] ** 2 for r in groups))
+        return real(tasks, texts, by, *rest)
+
+    monkeypatch.setattr(near, "_confirm", counted)
+    got = near.near_classes(make_docs(rows).repartition(3), block_docs=16)
+    assert result(got) == brute(rows)
+    assert len(compared) == 2 and sum(compared) < 0.05 * len(rows) ** 2
+
+
+def test_signatures_lose_few_links():
+    for percent in (80, 85, 95, 100):
+        rows, bands = near.plan(percent)
+        bits = near.apart(percent, rows * bands)
+        draws = np.random.default_rng(1).binomial(rows * bands, (1 - percent / 100) / 2, 10**6)
+        assert (draws > bits).mean() <= 1e-5 and bits < rows * bands / 4
+
+
+def test_own_names_and_large_ids(spark):
+    """Columns named as the operator's own stay as they are, and ids keep all bits beside a null."""
+    names = ["id", "row", "set", "d1", "_kept", "_nth", "component", "n", "node"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2**53 + 1, text), (2**53 + 3, text + " x"), (None, text), (2**53 + 5, None), (2**53 + 1, text)]
+    docs = spark.createDataFrame([(*r, *[i] * len(names)) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert result(near.near_classes(docs)) == brute(rows)
+    kept = near.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [2**53 + 1, None, 2**53 + 5]))
+
+
 def test_query_on_the_table(spark):
     from compare import DIR, duck
 

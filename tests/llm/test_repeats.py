@@ -60,6 +60,28 @@ def test_edges(spark, make_docs, edges):
     assert repeats.remove_repeats(make_docs([])).count() == 0
 
 
+def test_words_that_a_polynomial_hash_confuses(spark, make_docs):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join([*around[:17], x, *around[17:]])) for i, x in enumerate((one, other, "z" * 16, "z" * 15))]
+    pair = lambda a, b: " ".join((a, b)[i.bit_count() % 2] for i in range(64))
+    rows += [(10, pair("x", "y") + " p"), (11, pair("y", "x") + " q"), (12, one), (13, other)]
+    got = result(repeats.remove_repeats(make_docs(rows)))
+    assert got == brute(rows, 35) and not any(n for d, _, n, _ in got if d < 4)
+
+
+def test_own_names_and_large_ids(spark):
+    """Columns named as the operator's own stay as they are, and ids keep all bits beside a null."""
+    names = ["_id", "_mark", "_text", "_ranges", "row", "ranges", "first", "many"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2**53 + 1, text), (2**53 + 3, text + " x"), (None, text), (2**53 + 5, None)]
+    docs = spark.createDataFrame([(*r, *[i] * len(names)) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = repeats.remove_repeats(docs)
+    assert result(got) == brute(rows, 35) and got.columns == [*docs.columns, *repeats.ADDED]
+    assert {r.doc_id: r._text for r in got.collect()} == {r[0]: i for i, r in enumerate(rows)}
+
+
 def test_query_on_the_table(spark):
     from compare import DIR, duck
 
