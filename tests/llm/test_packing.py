@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -47,6 +47,52 @@ def test_pieces_cover_documents(sizes):
     assert sum(f < 1024 for f in fills) <= 1
 
 
+def placed_share(tally):
+    return tally["placed"] / max(1, tally["placed"] + tally["relaid"])
+
+
+def test_small_partitions_are_packed_by_the_method():
+    """32 partitions of some 300 documents of a table's sizes."""
+    rng = np.random.default_rng(3)
+    sizes = np.exp(rng.normal(6.44, 0.98, 10_000)).astype(int) + 1
+    tally, padded = Counter(), 0
+    for part in np.array_split(sizes, 32):
+        got, fills = check(packing.pack_partition(iter(enumerate(part.tolist())), 1024, tally=tally), 1024)
+        assert got == dict(enumerate(part.tolist()))
+        padded += sum(f < 1024 for f in fills)
+    assert placed_share(tally) > 0.75 and padded <= 32
+
+
+@pytest.mark.parametrize("size", [600, 513, 1000, 1])
+def test_open_sequences_are_bounded(size):
+    """Pieces that never pair up are laid end to end before too many are held."""
+    given = []
+    most = 0
+
+    def sizes():
+        for i in range(3000):
+            given.append(i)
+            yield i, size
+
+    done = set()
+    rows = []
+    for row in packing.pack_partition(sizes(), 1024, max_open=50):
+        rows.append(row)
+        done.add(row[0])
+        if given[-1] < 2999:
+            most = max(most, len(given) - len(done))
+    got, fills = check(rows, 1024)
+    assert got == dict.fromkeys(range(3000), size) and sum(f < 1024 for f in fills) <= 1
+    assert most <= 51 * (1024 // size + 1)
+
+
+def test_ids_beyond_doubles_beside_nulls(spark, make_docs):
+    rows = [(2**53 + 1, "a b"), (None, None), (2**53 + 3, "c " * 3000)]
+    got = packing.pack(make_docs(rows, extra="sequence_id").coalesce(1)).collect()
+    assert {r.doc_id for r in got} == {2**53 + 1, None, 2**53 + 3}
+    assert {r.doc_id: r.doc_tokens for r in got}[None] == 1
+
+
 def test_spark_pack(spark, make_docs, edges):
     docs = make_docs(edges).repartition(2)
     rows = packing.pack(docs, 64).collect()
