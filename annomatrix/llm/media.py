@@ -2,8 +2,9 @@
 
 encode() stores the UTF-8 bytes of a text, padded with spaces to a positive multiple of FRAME, as the samples of a mono
 WAV file in a binary column. fingerprint() reads such a column with the wave module. A null or empty text is one frame
-of spaces. A null doc_id is kept. Rows are handled one by one, so repeated rows give repeated results, and extra
-columns are not read.
+of spaces. A null doc_id is kept, and one of any size keeps its bits. Rows are handled one by one, so repeated rows give
+repeated results, texts of any length are stored whole, an empty table gives none, and extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ BANDS = (1, 8, 20, 48, 96, 193)
 FAN_OUT = 3
 REACH = 31
 AT_ONCE = 4096
+ROWS = 500
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -83,19 +85,22 @@ def pair_hashes(t: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[order], code[order]
 
 
+def padded(data: bytes) -> bytes:
+    return data + b" " * (-len(data) % FRAME or FRAME * (not data))
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): the WAV file of each whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                data = (text or "").encode("utf-8")
-                rows.append((None if pd.isna(d) else int(d), len(data), to_wav(data + b" " * (-len(data) % FRAME or FRAME * (not data)))))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                data = [b"" if t is None else t.encode() for t in part.column("text").to_pylist()]
+                columns = [part.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array([to_wav(padded(d)) for d in data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def fingerprint(stored: DataFrame) -> DataFrame:
@@ -105,20 +110,24 @@ def fingerprint(stored: DataFrame) -> DataFrame:
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, times array<int>, hashes array<int>"
     )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, n, media in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
-                data = from_wav(media)
-                at, code = pair_hashes(*peaks(np.frombuffer(data, dtype=np.uint8)))
-                sums = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest())
-                rows.append((None if pd.isna(d) else int(d), n, *sums, at.astype(np.int32), code.astype(np.int32)))
-            names = [x.split()[0] for x in schema.split(", ")]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                found = []
+                for cell in part.column("media"):
+                    media = cell.as_py()
+                    data = from_wav(media)
+                    at, code = pair_hashes(*peaks(np.frombuffer(data, dtype=np.uint8)))
+                    sums = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest())
+                    found.append((*sums, at.astype(np.int32), code.astype(np.int32)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=names)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def store(docs: DataFrame) -> DataFrame:

@@ -33,6 +33,39 @@ def test_fingerprint_of_tones():
     assert len(same) > 0.9 * len(part)  # time-coded: an excerpt gives the same hashes, shifted
 
 
+def test_ids_beyond_doubles_beside_nulls(spark, make_docs):
+    rows = [(2**53 + 1, "a"), (None, "b"), (2**53 + 3, None)]
+    docs = make_docs(rows, extra="times").coalesce(1)
+    for df in (media.encode(docs), media.fingerprint(media.store(docs))):
+        assert {r.doc_id for r in df.collect()} == {2**53 + 1, None, 2**53 + 3}
+
+
+def brute_pairs(data):
+    """The fingerprint by its definition: a plain Fourier sum per frame, then every pair of peaks."""
+    n = len(data) // 192
+    x = np.zeros(192 * (n + 1))
+    x[: len(data)] = np.frombuffer(data, dtype=np.uint8).astype(float) - 128
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(384) / 383)
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(193), np.arange(384)) / 384)
+    power = np.array([np.abs(wave @ (x[192 * i : 192 * i + 384] * hann)) ** 2 for i in range(n)])
+    edges, found = [1, 8, 20, 48, 96, 193], []
+    for i in range(n):
+        for a, z in zip(edges, edges[1:]):
+            top = lambda j: power[j, a:z].max()  # noqa: B023, E731
+            if top(i) > 0 and (i == 0 or top(i) > top(i - 1)) and (i + 1 == n or top(i) >= top(i + 1)):
+                found.append((i, a + int(power[i, a:z].argmax())))
+    pairs = [(t, f << 16 | g << 8 | u - t) for k, (t, f) in enumerate(found) for u, g in found[k + 1 : k + 4] if u - t <= 31]
+    return sorted(pairs)
+
+
+def test_fingerprint_by_its_definition():
+    rng = np.random.default_rng(7)
+    for n in (192, 192 * 2, 192 * 60):
+        data = rng.integers(32, 123, n).astype(np.uint8).tobytes()
+        at, code = media.pair_hashes(*media.peaks(np.frombuffer(data, dtype=np.uint8)))
+        assert list(zip(at.tolist(), code.tolist())) == brute_pairs(data)
+
+
 def test_query(spark):
     from compare import DIR
 

@@ -80,6 +80,15 @@ def test_round_trip(spark, make_docs, edges, block):
         start += len(want)
 
 
+def test_ids_beyond_doubles_beside_nulls(spark, make_docs):
+    rows = [(2**53 + 1, "a"), (None, "b"), (2**53 + 3, None), (-(2**53) - 1, "c"), *[(7, f"copy {i % 3}") for i in range(50)]]
+    path = table_path(spark, "t")
+    token_files.write(make_docs(rows, extra="hash").repartition(4), path, block_ids=16)
+    got = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, -(2**53) - 1, *[7] * 50, 2**53 + 1, 2**53 + 3]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
 def test_empty_table(spark, make_docs):
     path = table_path(spark, "t")
     token_files.write(make_docs([]), path)
