@@ -4,6 +4,11 @@ sources mixed to their weights, and the rest packed into sequences.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result to the shared folder
 and reads it again as the next one's documents. All but the last keep the columns of documents. What a stage decides
 takes effect: the mix repeats a document as often as it takes it and leaves out what it does not take.
+
+What a stage makes of nulls, empty and very long texts, repeated rows and empty tables is said by its operator: rows of
+a null doc_id or text pass the first four stages (a text without words is not mixed, as it has no size), repeated rows
+come down to one in the second, and an empty table gives an empty one. Other columns, whatever their names, go through
+the first four stages unchanged, but for n_chars where a text is cut.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annomatrix.llm import mixing, near, packing, repeats, toxicity
-from annomatrix.llm.shared import materialize
+from annomatrix.llm.shared import drop, materialize, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SIMILARITY = 80
@@ -30,24 +35,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text."""
-    out = repeats.remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        cut = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", cut)
-    return out.select(*docs.columns)
+    others = F.struct(F.lit(True).alias("_"), *[F.col(c).alias(f"of_{c}") for c in docs.columns if c != "text"])
+    out = repeats.remove_repeats(docs.select("doc_id", "text", others.alias("others")))
+    own = {c: F.col("text") if c == "text" else F.col("others")[f"of_{c}"] for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return out.select(*[v.alias(c) for c, v in own.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    key = [F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_m"), F.col("source").cast("string").alias("_s")]
+    """Each document as often as the mix takes it. Exact repetitions, of one doc_id, text and source, get their times
+    together; of rows that differ in other columns only, the one of the least hash stands for all of them."""
+    key = ["doc_id", "mark", "source"]
     times = F.when(F.col("size") > 0, F.try_divide("taken", "size").cast("int")).otherwise(0)
-    # Exact repetitions get their times in turn; one row per distinct document holds the sum.
-    plan = mixing.mix(docs).groupBy("doc_id", "mark", "source").agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    own = docs.select("*", *key)
-    on = F.col("_d").eqNullSafe(plan["doc_id"]) & F.col("_m").eqNullSafe(plan["mark"]) & F.col("_s").eqNullSafe(plan["source"])
-    once = own.dropDuplicates(["_d", "_m", "_s"])
-    taken = once.join(plan, on).where("_times > 0").select(*[once[c] for c in docs.columns], "_times")
-    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    with scratch(spark) as kept:
+        plan = mixing.mix(docs).groupBy(*key).agg(F.sum(times).alias("times"), F.count(F.lit(1)).alias("rows"))
+        plan = materialize(plan.where("times > 0"), "mix-times")
+        kept.append(plan)
+    own = [F.col("doc_id").cast("long"), mixing.mark_of(F.col("text")), F.col("source").cast("string")]
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(f"own_{k}") for k, c in zip(key, own, strict=True)])
+    taken = whole.join(plan, [F.col(f"own_{k}").eqNullSafe(F.col(k)) for k in key])
+    turns = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
+    once = taken.where("rows = 1")
+    out = once.select("row", turns).select("row.*")
+    if plan.where("rows > 1").isEmpty():
+        return out
+    least = F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row")
+    several = taken.where("rows > 1").groupBy(*key).agg(least, F.max("times").alias("times"))
+    return out.unionByName(several.select("row", turns).select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +81,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's own tables, and what it read, are dropped once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, before, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        if name != STAGES[0][0]:
+            drop(spark, before.table_path)
     return docs
 
 
