@@ -300,16 +300,18 @@ def _links(docs: DataFrame, percent: int, shingle: int, block_docs: int, block_b
             mixed = mixed.select("id", "text", "set.d1", "set.d2").join(classes.select("id", "d1", "d2", "node"), ["id", "d1", "d2"])
             own = materialize(own.join(several, "node", "left_anti").unionByName(mixed.select("node", "text")), "texts-by-set")
 
-        def confirm(tasks: DataFrame, name: str) -> DataFrame:
-            need = tasks.select("node").distinct()
-            texts = own.join(need, "node").groupBy("node").agg(F.min("text").alias("text"))  # rows of one set
-            by = [c for c in tasks.columns if c not in ("node", "asks")]
-            return materialize(_confirm(tasks, texts, by, percent, shingle), name)
-
         keys = classes.select("node", F.explode("bands").alias("key"))
         centre = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("key", "v")
         members = materialize(keys.join(centre, "key").select("key", "node", "v"), "shared-bands")
         sigs = classes.select("node", "sig", "bands", "bytes")
+        # All texts are shuffled once; what shares a band is a part of them. Rows of a node are of one set.
+        met = own.hint("merge").join(members.select("node").distinct(), "node")
+        texts = materialize(met.groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+        def confirm(tasks: DataFrame, name: str) -> DataFrame:
+            by = [c for c in tasks.columns if c not in ("node", "asks")]
+            return materialize(_confirm(tasks, texts, by, percent, shingle), name)
+
         tasks = materialize(first_tasks(members, sigs, most, block_docs, block_bytes), "first-tasks")
         links = confirm(tasks, "links")
         tasks = materialize(left_tasks(members, sigs, components(links), most, block_docs, block_bytes), "left-tasks")
