@@ -20,8 +20,9 @@ of which none is marked as selected, labels in svg defs or symbol that use draws
 placeholder) and signs that formulas draw (radicals). Style sheets are not read.
 
 A null page has a null text, an empty one an empty text. Rows are rendered one by one: a null page_id or a repeated
-page gives its own row. Any length and depth is rendered whole; tables nested more than NESTED deep run as blocks.
-Extra columns are not read.
+page gives its own row. Any length and depth is rendered whole, in time that grows with the page: a tag that never ends
+is text, and indentation stops at INDENT columns. An empty table gives none. Extra columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+OPENS = re.compile(r"</?[A-Za-z]")
+SPECIAL = re.compile(r"[>\"']")
+#: Character references that no character has, with more digits than Python reads at once.
+LONG = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 #: Element names of the HTML standard by their role.
@@ -82,22 +87,38 @@ CLOSES = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
-NESTED = 8
+#: Columns of indentation at most; deeper levels share them.
+INDENT = 80
 
 
 class Node:
     """span and down are the columns and rows of a cell, a down of 0 being all that its row group still has. space is the kind of element: '' (HTML), svg or math; inner is that of its children, svg-text within labels."""
 
-    __slots__ = ("attributes", "children", "down", "hidden", "inner", "space", "span", "start", "tag")
+    __slots__ = ("attributes", "branched", "children", "down", "hidden", "inner", "space", "span", "start", "tag")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1, down: int = 1, attributes: dict[str, str] | None = None):
         self.tag, self.hidden, self.start, self.span, self.down = tag, hidden, start, span, down
         self.attributes, self.space, self.inner = attributes or {}, "", ""
+        self.branched = False  # has an element of svg or math
         self.children: list[Node | str] = []
 
 
 def _number(text: str | None, least: int, most: int, default: int) -> int:
-    return min(most, max(least, int(text))) if text and re.fullmatch(r"-?\d{1,6}", text.strip()) else default
+    """An integer within bounds, whatever its digits."""
+    m = re.match(r"\s*(-?)0*(\d+)", text or "", re.A)
+    if not m:
+        return default
+    n = int(m[2]) if len(m[2]) < 12 else 10**12
+    return min(most, max(least, -n if m[1] else n))
+
+
+def _reference(m: re.Match) -> str:
+    digits = m[0].rstrip(";")[2:].lstrip("xX").lstrip("0")
+    return f"&#{m[0][2] if m[0][2] in 'xX' else ''}{digits or 0};" if len(digits) < 8 else "\ufffd"
+
+
+def unescape(text: str) -> str:
+    return entities.unescape(LONG.sub(_reference, text) if "&#" in text else text)
 
 
 def _rows(text: str | None) -> int:
@@ -110,7 +131,7 @@ def _node(tag: str, attributes: str) -> Node:
         return Node(tag)
     a = {}
     for m in ATTRIBUTE.finditer(attributes):
-        a.setdefault(m[1].lower(), entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+        a.setdefault(m[1].lower(), unescape(next((v for v in m.groups()[1:] if v is not None), "")))
     hidden = "hidden" in a or bool(HIDING.search(a.get("style", ""))) or tag == "input" and a.get("type", "").lower() == "hidden"
     return Node(tag, hidden, _number(a.get("start"), -999_999, 999_999, 1), _number(a.get("colspan"), 1, 1000, 1), _rows(a.get("rowspan")), a)
 
@@ -123,92 +144,181 @@ def _foreign(tag: str, attributes: str, parent: Node) -> Node:
     is_html = tag in HOLDS_HTML[node.space] or tag == "annotation-xml" and a.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
     text = node.space == "svg" and tag != "svg" and (tag == "text" or parent.inner == "svg-text")
     node.inner = "" if is_html else "svg-text" if text else node.space
-    unseen = tag in FOREIGN_UNSEEN[node.space] or parent.space and parent.tag in FIRST_ONLY and any(isinstance(c, Node) for c in parent.children)
+    unseen = tag in FOREIGN_UNSEEN[node.space] or parent.space and parent.tag in FIRST_ONLY and parent.branched
     if node.space == "svg":
         unseen = unseen or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")
     node.hidden = node.hidden or bool(unseen)
     return node
 
 
+class Scanner:
+    """Finds the tag at a place of the page. Tags that never end are found out in time that grows with the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special: list[int] | None = None
+        self.dead: set[int] = set()
+
+    def tag(self, at: int) -> re.Match | None:
+        if self.special is not None and not self._ends(at):
+            return None
+        m = TAG.match(self.page, at)
+        if m is None and self.special is None and OPENS.match(self.page, at):
+            self.special = [s.start() for s in SPECIAL.finditer(self.page)]
+            self._ends(at)
+        return m
+
+    def _ends(self, at: int) -> bool:
+        """Whether a > outside quotes follows. From the same quote on, every search goes the same way, so the quotes of
+        those that came to nothing are remembered."""
+        seen = []
+        while (i := bisect_left(self.special, at)) < len(self.special):
+            s = self.special[i]
+            if self.page[s] == ">":
+                return True
+            if s in self.dead:
+                break
+            seen.append(s)
+            end = self.page.find(self.page[s], s + 1)
+            if end < 0:
+                break
+            at = end + 1
+        self.dead.update(seen)
+        return False
+
+
+class Stack:
+    """The open elements, with the places of each kind, so that the nearest of some is found without a walk."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.holds: list[int] = []  # elements of svg and math whose content is HTML
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.space and not node.inner:
+            self.holds.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        node = self.nodes.pop()
+        self.at[node.tag].pop()
+        if self.holds and self.holds[-1] == len(self.nodes):
+            self.holds.pop()
+
+    def last(self, tags: set[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def close(self, until: set[str], fence: set[str], below: int | None = None) -> None:
+        """Closes the nearest of until unless one of fence is nearer or the same. HTML in svg or math closes nothing
+        outside; an end tag at that point, in place below, does."""
+        i = self.last(until)
+        holds = [p for p in self.holds[-2:] if below is None or p < below]
+        if i > max(self.last(fence), holds[-1] if holds else 0):
+            while len(self.nodes) > i:
+                self.pop()
+
+
 def parse(page: str) -> Node:
     """The element tree; text nodes have their entities resolved."""
     root = Node("html")
-    stack = [root]
+    stack, scanner = Stack(root), Scanner(page)
     at, n = 0, len(page)
+    no_end = False  # no > follows
 
-    def close(until: set[str], fence: set[str], within: int = n + 1) -> None:
-        # HTML in svg or math closes nothing outside; an end tag of svg or math at that point does.
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in fence or stack[i].space and not stack[i].inner and i < within:
-                return
-            if stack[i].tag in until:
-                del stack[i:]
-                return
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
-            text = entities.unescape(text)
-            if stack[-1].tag == "head" and text.strip(SPACE):
-                stack.pop()
-            if stack[-1].inner != "svg":
-                stack[-1].children.append(text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if stack[-1].space and page.startswith("<![CDATA[", m.start()):
-                end = page.find("]]>", m.start())
+    def put(text: str) -> None:
+        if not text:
+            return
+        text = unescape(text)
+        if stack.top.tag == "head" and text.strip(SPACE):
+            stack.pop()
+        if stack.top.inner != "svg":
+            stack.top.children.append(text)
+
+    look = 0
+    while True:
+        lt = page.find("<", look)
+        if lt < 0:
+            put(page[at:])
+            return root
+        mark = page[lt + 1 : lt + 2]
+        if mark in ("!", "?") and mark:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = end + 3 if end >= 0 else n
+            else:
+                end = -1 if no_end else page.find(">", lt + 2)
+                no_end = end < 0
+                if no_end:
+                    look = lt + 2
+                    continue
+                end += 1
+            put(page[at:lt])
+            if stack.top.space and page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
                 end = end if end >= 0 else n
-                if stack[-1].inner != "svg":
-                    stack[-1].children.append(page[m.start() + 9 : end])
-                at = end + 3
+                if stack.top.inner != "svg":
+                    stack.top.children.append(page[lt + 9 : end])
+                end = min(n, end + 3)
+            at = look = end
+            continue
+        m = scanner.tag(lt)
+        if m is None:
+            look = lt + 1
             continue
+        put(page[at:lt])
+        at = look = m.end()
         tag = m[2].lower()
-        if stack[-1].inner and (tag in ("p", "br") if m[1] else tag in LEAVES or tag == "font" and FONT.search(m[3])):
-            while stack[-1].inner:
+        if stack.top.inner and (tag in ("p", "br") if m[1] else tag in LEAVES or tag == "font" and FONT.search(m[3])):
+            while stack.top.inner:
                 stack.pop()
         if m[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and all(x.tag != "p" for x in stack):
-                stack[-1].children.append(Node("p"))
+                stack.top.children.append(Node("br"))
+            elif tag == "p" and not stack.at.get("p"):
+                stack.top.children.append(Node("p"))
             else:
-                close({tag}, {"td", "th"} if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {tag}, len(stack) - 1)
+                fence = {"td", "th"} if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {tag}
+                stack.close({tag}, fence, len(stack.nodes) - 1)
             continue
-        if tag in ("html", "body") and len(stack) == 1:
+        if tag in ("html", "body") and len(stack.nodes) == 1:
             continue
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
+        if stack.top.tag == "head" and tag not in IN_HEAD:
             stack.pop()
-        if stack[-1].inner or tag in FOREIGN_UNSEEN:
-            node = _foreign(tag, m[3], stack[-1])
-            own_line = tag == "math" and not stack[-1].inner and node.attributes.get("display", "").lower() == "block"
-            stack[-1].children.append(_line(node) if own_line else node)
+        if stack.top.inner or tag in FOREIGN_UNSEEN:
+            node = _foreign(tag, m[3], stack.top)
+            own_line = tag == "math" and not stack.top.inner and node.attributes.get("display", "").lower() == "block"
+            stack.top.children.append(_line(node) if own_line else node)
+            stack.top.branched = True
             if not m[3].endswith("/") or UNQUOTED.search(m[3]):
-                stack.append(node)
+                stack.push(node)
             continue
         if tag in CLOSES_P:
-            close({"p"}, {"td", "th", "table", "button", "object", "caption"})
+            stack.close({"p"}, {"td", "th", "table", "button", "object", "caption"})
         if tag in CLOSES:
             until, fence = CLOSES[tag]
             for _ in until:
-                close(until, fence)
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+                stack.close(until, fence)
+        if tag in ("td", "th") and stack.top.tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            stack.top.children.append(row)
+            stack.push(row)
         if tag == "body":
-            close({"head"}, set())
+            stack.close({"head"}, set())
         node = _node(tag, m[3])
-        stack[-1].children.append(node)
+        stack.top.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            raw = page[at : end.start() if end else n]
+            node.children.append(unescape(raw) if tag in ("textarea", "title") else raw)
+            at = look = end.end() if end else n
         elif tag not in VOID:
-            stack.append(node)
-    return root
+            stack.push(node)
 
 
 def _line(node: Node) -> Node:
@@ -268,7 +378,7 @@ class Layout:
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.inline: list[str] = []
-        self.indent = ""
+        self.indent = 0
         self.marker: str | None = None
         self.wants_gap = False
 
@@ -286,9 +396,9 @@ class Layout:
         self.wants_gap = False
         if self.marker is not None:
             head, self.marker = self.marker, None
-            line = self.indent[: len(self.indent) - len(head)] + head + line
+            line = " " * min(INDENT, self.indent - len(head)) + head + line
         else:
-            line = self.indent + line
+            line = " " * min(INDENT, self.indent) + line
         self.lines.append(line.rstrip())
 
     def flush(self) -> None:
@@ -303,8 +413,9 @@ class Layout:
             self.wants_gap = True
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
-    """The lines that an element shows. The walk keeps its own stack, so that depth costs no recursion."""
+def render(root: Node, tables: dict[int, list[str]]) -> list[str]:
+    """The lines that an element shows, given those of the tables in it. The walk keeps its own stack, so that depth
+    costs no recursion."""
     out = Layout()
     lists: list[list] = []  # kind and next number
     todo: list[tuple[str, object]] = [("open", c) for c in reversed(root.children)]
@@ -330,9 +441,9 @@ def render(root: Node, depth: int = 0) -> list[str]:
         if tag == "br":
             out.flush() if "".join(out.inline).strip() else out.gap()
             continue
-        if tag == "table" and depth < NESTED:
+        if tag == "table":
             out.gap()
-            out.raw(table(node, depth + 1))
+            out.raw(tables.pop(id(node), []))
             out.gap()
             continue
         if tag in ("td", "th", "tr", "caption"):  # outside a table that is laid out
@@ -356,9 +467,9 @@ def render(root: Node, depth: int = 0) -> list[str]:
             if lists and lists[-1][0] == "ol":
                 head, lists[-1][1] = f"{lists[-1][1]}. ", lists[-1][1] + 1
             out.marker = head
-            out.indent = indent + " " * len(head)
+            out.indent = indent + len(head)
         elif tag in ("blockquote", "dd"):
-            out.indent = indent + "  "
+            out.indent = indent + 2
         todo.append(("close", (tag, indent, is_list)))
         todo += [("open", c) for c in reversed(node.children)]
     out.flush()
@@ -397,7 +508,7 @@ def _placed(cells: list[tuple[str, int, int]], held: list[tuple[int, int, int]])
     return row[:last], sorted(down_from)
 
 
-def table(root: Node, depth: int) -> list[str]:
+def table(root: Node, tables: dict[int, list[str]]) -> list[str]:
     """Rows with cells padded to the width of their column; a cell's lines are joined by a space. Cells that span
     columns, and captions, do not widen a column. Below a cell that spans rows its columns stay empty."""
     captions, rows = [], []
@@ -414,18 +525,18 @@ def table(root: Node, depth: int) -> list[str]:
             cells = [c for c in node.children if not isinstance(c, str) and c.tag in ("td", "th") and not c.hidden]
             loose = Node("td")
             loose.children = [c for c in node.children if isinstance(c, str) or c.tag not in ("td", "th")]
-            extra = " ".join(" ".join(render(loose, depth)).split()) if loose.children else ""
+            extra = " ".join(" ".join(render(loose, tables)).split()) if loose.children else ""
             captions += [extra] * bool(extra)
             held = held if parent is group else []
             group = parent
-            row, held = _placed([(" ".join(x for x in render(c, depth) if x), c.span, c.down) for c in cells], held)
+            row, held = _placed([(" ".join(x for x in render(c, tables) if x), c.span, c.down) for c in cells], held)
             rows.append(row)
         elif node.tag in ("thead", "tbody", "tfoot", "colgroup"):
             todo += [(c, node) for c in reversed(node.children)]
         else:
             wrap = Node("div")
             wrap.children = [node]
-            captions += [x for x in render(wrap, depth) if x]
+            captions += [x for x in render(wrap, tables) if x]
     widths: dict[int, int] = {}
     for row in rows:
         for at, text, span in row:
@@ -443,10 +554,26 @@ def table(root: Node, depth: int) -> list[str]:
     return lines
 
 
+def layout(root: Node) -> list[str]:
+    """The lines of a page; its tables are laid out from the innermost on."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.hidden or node.tag in UNSEEN:
+            continue
+        if node.tag == "table":
+            found.append(node)
+        todo += reversed(_inside(node))
+    tables: dict[int, list[str]] = {}
+    for node in reversed(found):
+        tables[id(node)] = table(node, tables)
+    return render(root, tables)
+
+
 def visible_text(page: str | None) -> str | None:
     if page is None:
         return None
-    lines = render(parse(page.replace("\r\n", "\n").replace("\0", "�")))
+    lines = layout(parse(page.replace("\r\n", "\n").replace("\0", "�")))
     return "\n".join(lines).strip("\n")
 
 

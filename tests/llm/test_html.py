@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from annomatrix.llm.html import extract, visible_text
@@ -60,6 +64,127 @@ def test_deep_and_long_pages():
     assert visible_text("<" * 50_000).count("<") == 50_000
 
 
+HOSTILE = ["<a ", "<!", "<?", "<!--", "<", "</", "<a '\"", '<a "', "<a '' ", "<a \"'>", "<div>", "<p><b>", "</div>", "<blockquote>", "<ul><li>", "<p><button><div>", "<table><tr><td>"]
+HOSTILE += ["<table>", "<td>", "<svg>", "<math><mi>", "<svg><switch>a<!---->", "<select><option>", "<title>", "<script>", "<textarea", "&#1", "&", "<dl><dt>", "<b hidden", "<a b=", "<p>&#9"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_a_megabyte_takes_seconds(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    visible_text(page + "x")
+    assert time.process_time() - began < 5
+
+
+def test_numbers_of_any_length():
+    assert visible_text("a&#" + "9" * 5000 + ";b&#0000000000000000065;&#x" + "0" * 30 + "42;&#x" + "f" * 9) == "a\ufffdbAB\ufffd"
+    assert visible_text("<ol start=" + "9" * 5000 + "><li>a</ol>").startswith("999999. a")
+    assert visible_text("<table><tr><td colspan=" + "9" * 5000 + ">a<td>b</table>") == "a | b"
+
+
+def test_entities_in_text_areas_and_nested_tables():
+    assert visible_text("<textarea>x &amp; <b>y</textarea>z") == "x & <b>yz"
+    cell = "in"
+    for i in range(12):
+        cell = f"<table><tr><td>{i}<td>{cell}</table>"
+    assert visible_text(cell) == " | ".join(f"{i}" for i in range(11, -1, -1)) + " | in"
+    assert visible_text("<ul><li>" * 200 + "x").endswith("- x")
+
+
+class Outline(HTMLParser):
+    """Nested lists of [tag, attributes, children] of a well-formed page."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open = [["html", {}, []]]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        if tag != "br":
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def outline_lines(children):
+    """Lines of a page of div, p, ul, ol, table, br, b and hidden elements, None for a wanted gap."""
+    lines, run = [], [""]
+
+    def flush():
+        lines.extend(" ".join(x.split()) for x in run if x.strip())
+        run[:] = [""]
+
+    def walk(nodes):
+        for n in nodes:
+            if isinstance(n, str):
+                run[-1] += n
+            elif "hidden" in n[1] or n[0] in ("script", "style"):
+                continue
+            elif n[0] == "b":
+                walk(n[2])
+            elif n[0] == "br":
+                flush()
+            else:
+                flush()
+                if n[0] != "div":
+                    lines.append(None)
+                if n[0] == "table":
+                    rows = [[" ".join(x for x in outline_lines(c[2]) if x) for c in r[2]] for r in n[2]]
+                    width = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows)))]
+                    lines.extend(" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows if any(r))
+                elif n[0] in ("ul", "ol"):
+                    for k, item in enumerate(n[2]):
+                        head = "- " if n[0] == "ul" else f"{int(n[1].get('start', 1)) + k}. "
+                        own = outline_lines(item[2])
+                        lines.extend((head if not i else " " * len(head)) + x for i, x in enumerate(own))
+                else:
+                    walk(n[2])
+                    flush()
+                if n[0] != "div":
+                    lines.append(None)
+
+    walk(children)
+    flush()
+    out = []
+    for i, x in enumerate(lines):
+        if x is not None:
+            if out and lines[i - 1] is None:
+                out.append("")
+            out.append(x)
+    return out
+
+
+def test_well_formed_pages_by_an_outline():
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "be&amp;ta", "c", "δ", "long-word", "x &lt; y"])
+    inline = lambda: " ".join(rng.choice([word(), f"<b>{word()}</b>", f"<b hidden>{word()}</b>"]) for _ in range(rng.randint(1, 4)))
+
+    def block(depth):
+        kind = rng.choice(["p", "div", "ul", "ol", "table", "text", "script"]) if depth < 3 else "p"
+        if kind == "p":
+            return f"<p>{inline()}{'<br>' + word() if rng.random() < 0.3 else ''}</p>"
+        if kind == "div":
+            return "<div>" + "".join(block(depth + 1) for _ in range(rng.randint(1, 3))) + "</div>"
+        if kind in ("ul", "ol"):
+            start = f" start={rng.randint(1, 20)}" if kind == "ol" else ""
+            return f"<{kind}{start}>" + "".join(f"<li>{word()} {inline()}</li>" for _ in range(rng.randint(1, 3))) + f"</{kind}>"
+        if kind == "table":
+            cell = lambda: word() if depth > 1 or rng.random() < 0.8 else block(2)
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{cell()}</td>" for _ in range(rng.randint(1, 3))) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+        return f"<script>if (a < b) x('<p>')</script>{word()}" if kind == "script" else f"{inline()} "
+
+    for _ in range(400):
+        page = "".join(block(0) for _ in range(rng.randint(1, 5)))
+        assert visible_text(page) == "\n".join(outline_lines(Outline(page).open[0][2])), page
+
+
 def test_spark(spark):
     rows = [(1, "u", "<p>a", 1), (None, None, None, 2), (1, "u", "<p>a", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
