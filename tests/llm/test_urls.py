@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from annomatrix.llm import urls
@@ -54,3 +56,74 @@ def test_distrust_reaches_linking_hosts(spark):
     df = spark.createDataFrame([(*p, 1) for p in pages], SCHEMA)
     got = {r.page_id: r.verdict for r in urls.judge(df).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_links_of_a_page():
+    page = """<base href='//Base.org/x'><base href='http://no.org'><a href='https://A.com/q?x://y'>a</a><A HREF=//b.NET>b</A>
+    <a href='
+      http://c.org:80#t'>c</a><area href=rel.html><a href='mailto:x@y.z'>m</a><a href='javascript://no'>j</a><a name=n>n</a><a href=''>e</a>
+    <!-- <a href='http://no.org'> --><script>"<a href='http://no.org'>"</script><a href="http://d&amp;d.org/">d</a>"""
+    assert sorted(urls.linked_hosts(page)) == sorted(["a.com", "b.net", "c.org:80", "base.org", "no", "base.org", "d&d.org"])
+    assert urls.linked_hosts("<a href='/x'>x</a>") == [] and urls.linked_hosts(None) == []
+
+
+def walk(edges, seeds, ratio=0.85):
+    """Until nothing moves; hosts without links send all to the seeds."""
+    total = sum(seeds.values())
+    start = {h: m / total for h, m in seeds.items()}
+    out, score = {}, dict(start)
+    for a, _, n in edges:
+        out[a] = out.get(a, 0) + n
+    for _ in range(400):
+        new = {}
+        for a, b, n in edges:
+            new[b] = new.get(b, 0) + ratio * score.get(a, 0) * n / out[a]
+        rest = 1 - sum(new.values())
+        score = {h: new.get(h, 0) + rest * start.get(h, 0) for h in {*new, *start}}
+    return score, 1 - ratio * sum(v for h, v in score.items() if h in out)
+
+
+def brute_verdicts(pages):
+    """pages: (host, own verdict by a rule or None, hosts linked to), one page each."""
+    edges, of = {}, {}
+    for host, kind, links in pages:
+        of.setdefault(host, []).append(kind)
+        for to in links:
+            if to != host:
+                edges[host, to] = edges.get((host, to), 0) + 1
+    found = {}
+    for kind, turn in (("allow", False), ("block", True)):
+        e = [(b, a, n) if turn else (a, b, n) for (a, b), n in edges.items()]
+        seeds = {h: v.count(kind) for h, v in of.items() if kind in v}
+        score, restart = walk(e, seeds)
+        total = sum(seeds.values())
+        for h, v in of.items():
+            own = 0 if 2 * v.count(kind) > len(v) else v.count(kind) / total * restart
+            found[h, kind] = max(0, score.get(h, 0) - own)
+    return {h: "block" if found[h, "block"] > found[h, "allow"] + 1e-12 else "allow" for h in of}, found
+
+
+def test_the_method_blocks_hosts_of_a_graph(spark):
+    """A farm links to blocked hosts, a fair part to allowed ones, and some hosts are decided in part."""
+    rng = random.Random(8)
+    rules = {"block": "http://{}.net/es/p", "allow": "http://{}.com/p", None: "http://{}.org/p"}
+    names = {"block": [f"b{i}" for i in range(6)], "allow": [f"a{i}" for i in range(8)], None: [f"o{i}" for i in range(40)]}
+    full = lambda kind, n: rules[kind].format(n).split("/")[2]
+    pages = []
+    for kind, some in names.items():
+        for k, n in enumerate(some):
+            for _ in range(rng.randint(1, 3)):
+                bad = kind == "block" or kind is None and k < 15
+                to = [full(*rng.choice([("block", x) for x in names["block"]] if bad and rng.random() < 0.7 else [("allow", x) for x in names["allow"]])) for _ in range(2)]
+                to.append(full(None, rng.choice(names[None][:15] if bad else names[None][15:])))
+                pages.append((rules[kind].format(n), kind, to))
+    pages += [("http://b0.net/de/p", None, []), ("http://b0.net/it/p", None, []), ("http://b0.net/pl/p", None, []), ("http://lone.net/es/", "block", []), ("http://lone.net/x", None, []), ("http://lone.net/y", None, [])]
+    html = lambda to: "".join(f"<p><a href='//{h}/x'>x</a>" for h in to)
+    df = spark.createDataFrame([(i, u, html(to), 1) for i, (u, _, to) in enumerate(pages)], SCHEMA)
+    want, found = brute_verdicts([(u.split("/")[2], kind, to) for u, kind, to in pages])
+    got = urls.judge(df).collect()
+    clear = lambda h: abs(found[h, "block"] - found[h, "allow"]) > 1e-3 or found[h, "block"] == 0
+    by_method = [r for r in got if r.rule is None and clear(r.host)]
+    assert {r.host: r.verdict for r in by_method} == {r.host: want[r.host] for r in by_method}
+    assert sum(r.verdict == "block" for r in by_method) > 15 and sum(r.verdict == "allow" for r in by_method) > 15
+    assert all(r.distrust == pytest.approx(found[r.host, "block"], abs=6e-4) for r in got)
