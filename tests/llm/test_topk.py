@@ -54,6 +54,25 @@ def test_tree_prunes():
     assert sum(asked) < 0.4 * 50 * 4000
 
 
+def test_near_vectors_share_shards_and_most_pairs_are_ruled_out(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = np.repeat(rng.normal(size=(30, 6)) * 40, 60, 0) + rng.normal(size=(1800, 6)) * 0.1
+    rows = [(int(i), v.tolist()) for i, v in enumerate(points)]
+    pairs, real = [], topk._meet_roots
+    monkeypatch.setattr(topk, "_meet_roots", lambda a, s, n: pairs.append((real(a, s, n).count(), a.count() * n)) or real(a, s, n))
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(4)
+    got = {tuple(r) for r in topk.top_k(df, every=10, shard_rows=50, query_rows=8).collect()}
+    assert got == brute(rows, 5, 10)
+    assert pairs[1][0] < 0.6 * pairs[1][1]
+
+
+def test_components_near_the_largest_double(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e308, -1e308]), (2, [-1e308, 1.0]), (3, [0.5, 0.25]), (50, [1e308, 1.0]), (51, [1.0, 1.0])]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)).collect()}
+    big = 1.7976931348623157e308 / 256  # what 256 carries to the largest double
+    assert got == brute([(i, [max(-big, min(big, x)) for x in v]) for i, v in rows], 5, 50)
+
+
 def test_query_matches_sql(spark):
     from compare import assert_same
 
