@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op5_repeats": repeats.ORACLE, "op7_near_dedup": near.ORACLE, "op8_mixing": mixing.ORACLE}

@@ -124,7 +124,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same by windows over the whole table; weights, passes and seed as above.
 ORACLE = r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, coalesce(md5(text), 'null') as mark from documents),
-r as (select *, row_number() over () as row, substr(md5(concat_ws('|', '17', coalesce(doc_id::varchar, 'null'), mark)), 1, 15) as place from d),
+r as materialized (select *, row_number() over () as row, substr(md5(concat_ws('|', '17', coalesce(doc_id::varchar, 'null'), mark)), 1, 15) as place from d),
 s as (select source, sum(size)::bigint as source_size from r group by source),
 w as (select *, row_number() over (order by source nulls last) as number, (((row_number() over (order by source nulls last)) - 1) % 3 + 1)::double as w, source_size * 3.0::double as cap from s),
 f as (select *, coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0.0) as caps_before,
@@ -132,7 +132,7 @@ f as (select *, coalesce(sum(cap) over (order by cap / w, source nulls last rows
 l as (select *, (total - caps_before) / weights_left as level from f),
 m as (select arg_min(level, cap / w) as final from l where level * w < cap),
 t as (select source, source_size, number, case when final is null then cap else least(cap, final * w) end as target from l cross join m),
-q as (select r.*, source_size, target, number, sum(size) over (partition by number order by place, doc_id nulls first, row) as upto,
+q as materialized (select r.*, source_size, target, number, sum(size) over (partition by number order by place, doc_id nulls first, row) as upto,
   case when source_size > 0 then least(ceil(target / source_size + 1e-9), 3) else 0 end as passes from r join t on r.source is not distinct from t.source),
 c as (select q.*, turn, (turn * source_size + upto - size / 2) / target as middle from q cross join (select unnest([0, 1, 2]) as turn) where size > 0 and turn < passes and target > 0),
 x as (select *, sum(size) over (order by middle, number, place, doc_id nulls first, row, turn rows between unbounded preceding and current row) as spent from c),

@@ -368,3 +368,16 @@ def keep(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, block_docs:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of the whole documents table at 85 %."""
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same by all pairs that share a shingle, for documents of distinct doc_ids.
+ORACLE = r"""with recursive d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) as g from (select r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select r, count(*) as n from s group by r),
+c as (select a.r as r, b.r as q, any_value(a.doc_id) as u, any_value(b.doc_id) as v, count(*) as both_have from s a join s b on a.g = b.g and a.r < b.r group by 1, 2),
+e as (select distinct u, v from c join n x on x.r = c.r join n y on y.r = c.q where 100 * both_have >= 85 * (x.n + y.n - both_have) and u is not null and v is not null),
+b as (select u, v from e union select v, u from e),
+t as (select u as a, v from b union select t.a, b.v from t join b on t.v = b.u),
+m as (select a, least(a, min(v)) as least_id from t group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(least_id, d.doc_id) as component_id, coalesce(d.doc_id = coalesce(least_id, d.doc_id), true) as kept
+from d left join n using (r) left join m on m.a = d.doc_id"""

@@ -189,3 +189,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document of the whole table keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: The same by all windows of all documents, grouped by a digest.
+ORACLE = r"""with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select r, unnest(range(1, len(w) - 33)) as i, w from d where len(w) >= 35),
+h as (select r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as h from g),
+s as (select r, i from h where h in (select h from h group by h having count(*) > 1)),
+x as (select distinct r, unnest(range(i, i + 35)) as i from s),
+u as (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+k as (select r, string_agg(word, ' ' order by i) as kept from u anti join x using (r, i) group by r),
+n as (select r, count(*) as n from x group by r)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join n using (r) left join k using (r)"""

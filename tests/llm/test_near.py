@@ -171,3 +171,10 @@ def test_query_on_the_table(spark):
 
     rows = duck().execute("select doc_id, text from documents").fetchall()
     assert result(near.query(spark, DIR)) == brute(rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_matches_sql(spark, sf):
+    from compare import assert_same
+
+    assert_same(spark, near.query, near.ORACLE, f"/root/testdata/{sf}")

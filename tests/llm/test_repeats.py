@@ -99,3 +99,10 @@ def test_words_do_not_depend_on_chunks(monkeypatch):
     assert np.diff(whole[0][2]).tolist() == [len((t or "").encode().split()) for t in texts]
     lower = next(iter(words.chunks(pa.array(["Ab É"]), lower=True)))
     assert len(lower[1]) == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_matches_sql(spark, sf):
+    from compare import assert_same
+
+    assert_same(spark, repeats.query, repeats.ORACLE, f"/root/testdata/{sf}")
