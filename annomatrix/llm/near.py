@@ -40,8 +40,8 @@ from .words import Runs, chunks, mix, signed
 
 SHINGLE = 5
 MISS = 1e-6
-BLOCK_DOCS = 512
-BLOCK_BYTES = 1 << 22
+BLOCK_DOCS = 256
+BLOCK_BYTES = 1 << 21
 SEED = 5
 
 
@@ -136,8 +136,8 @@ def signatures(docs: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFra
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "bytes", "d1", "d2", "bands", "sig"])
 
         for whole in batches:
-            for lo in range(0, len(whole), 2000):
-                batch = whole.slice(lo, 2000)
+            for lo in range(0, len(whole), 500):
+                batch = whole.slice(lo, 500)
                 found, least = [], np.zeros((len(batch), len(a)), dtype=np.uint64)
                 for i, one, two in shingle_sets(batch.column("text"), shingle):
                     found.append((len(one), *digest(one, two)))

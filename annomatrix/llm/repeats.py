@@ -143,7 +143,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, len(whole), 500)):
             texts, ranges = batch.column("text"), batch.column("ranges")
             out, n_words, n_removed, sums = [], [], [], []
             for i in range(len(batch)):
