@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges become stars around the smallest node of each component. A step is a minimum per node and a join; no node's
-neighbours are ever gathered. Nodes with a large share of all edges are joined by a bounded broadcast, so that a hub's
-edges stay in the tasks that read them.
+neighbours are ever gathered. Among more than MANY edges, nodes with a large share of all are joined by a bounded
+broadcast, so that a hub's edges stay in the tasks that read them.
 """
 
 from __future__ import annotations
@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from .shared import materialize, scratch
 from .skew import HEAVY
 
+#: Edges of one node that a task takes in a plain join.
+MANY = 1 << 20
+
 
 def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """rows (u, v) with m of their u from least (u, m, n); fewer than HEAVY nodes u are in more than one in HEAVY of
     all rows."""
+    if total <= MANY:
+        return rows.join(least.drop("n"), "u")
     hub = F.col("n") * HEAVY > total
     few = least.where(hub).drop("n")
     spread = rows.join(F.broadcast(few.select("u")), "u", "left_anti")

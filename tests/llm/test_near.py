@@ -99,9 +99,11 @@ def test_linked_matrix_and_forest():
     assert near.forest(chain | chain.T) == [(1, 0), (2, 0), (3, 0), (5, 4)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [0, 1 << 20])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr("annomatrix.llm.components.MANY", many)
     rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)] + [(2000, i) for i in range(2001, 2500)]
     parent = {x: x for e in edges for x in e}
     for a, b in edges:
         lo, hi = sorted((root(parent, a), root(parent, b)))
