@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .html import Node, parse
 from .shared import materialize, scratch
+from .skew import join_counted
 
 #: Verdict, host, path.
 RULES = (
@@ -139,8 +140,8 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, rounds: int | Non
     judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), which.alias("rule"), verdict.alias("by_rule"))
     links = materialize(host_links(pages), "host-links")
     counted = {k: F.count(F.when(F.col("by_rule") == k, 1)).alias(k) for k in ("allow", "block")}
-    counts = materialize(judged.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), *counted.values()), "url-seeds")
-    seeds = lambda kind: counts.where(F.col(kind) > 0).select("host", F.col(kind).alias("mass"))
+    counts = materialize(judged.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), *counted.values()), "url-seeds")
+    seeds = lambda kind: counts.where((F.col(kind) > 0) & (F.col("host") != "")).select("host", F.col(kind).alias("mass"))
     trust = page_rank(links, seeds("allow"), "trust", rounds, back=True)
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = page_rank(against, seeds("block"), "distrust", rounds, back=True)
@@ -154,8 +155,10 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, rounds: int | Non
     both = both.join(own, "host", "left").join(F.broadcast(_restarts(trust, distrust, links)))
     net = lambda kind: F.greatest(F.col(kind) - F.coalesce(f"own_{kind}", F.lit(0.0)) * F.col(f"{kind}_restart"), F.lit(0.0))
     both = both.select("host", net("trust").alias("trust"), net("distrust").alias("distrust"))
-    out = judged.join(both, "host", "left")
-    found = F.when(F.col("distrust") > F.lit(ratio) * F.col("trust") + 1e-12, "block").otherwise("allow")
+    # One row per host with its number of pages; those of many pages are not shuffled.
+    hosts = counts.select("host", F.col("pages").alias("n")).join(both, "host", "left")
+    out = join_counted(judged, hosts, ["host"], "url-hosts")
+    found = F.when(F.coalesce(F.col("distrust") > F.lit(ratio) * F.col("trust") + 1e-12, F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", found).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
