@@ -27,7 +27,7 @@ def select_features(am: AnnotatedMatrix, how: FeatureSelection) -> DataFrame:
         chosen = compute_variance(am, Direction.COLUMN).select(key, ranked.alias("v")).orderBy(*order).limit(how.n)
     elif how.kind == "randomized":
         order = [F.col("h").asc(), key.asc()]
-        chosen = am.var.select(key, F.xxhash64(F.lit(how.seed), key).alias("h")).orderBy(*order).limit(how.n)
+        chosen = am.var.select(key, F.md5(F.concat_ws(":", F.lit(str(how.seed)), key.cast("string")).cast("binary")).alias("h")).orderBy(*order).limit(how.n)
     elif how.kind == "variance_above":
         above = ~F.isnan("variance") & (F.col("variance") > how.threshold)
         chosen, order = compute_variance(am, Direction.COLUMN).where(above).select(key), [key]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import AnnotatedMatrix
 from ..params import FeatureSelection
+from .dense import DENSE_CELLS, cell_lists, scatter
 from .features import select_features
 
 MAX_FEATURES = 1024
@@ -21,11 +26,38 @@ class PcaResult:
     explained_variance_ratio: list[float]
 
 
-def gram(am: AnnotatedMatrix, columns: DataFrame) -> DataFrame:
-    """(i, j, g) for i <= j: the sum over observations of the product of the stored entries of columns i and j. The
-    self-join is by observation and costs the squared entries of a row; partial sums keep the shuffle at columns
-    squared per task."""
+def _products(cells: DataFrame, width: int) -> DataFrame:
+    """(i, j, g, s) for i <= j: partial sums over a task's rows of the products of columns i and j that meet in a row,
+    and on the diagonal of column i itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, s, met = np.zeros((width, width)), np.zeros(width), np.zeros((width, width), dtype=bool)
+        step = max(1, DENSE_CELLS // max(1, width))
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.column("cells").slice(lo, step)
+                x = scatter(part, width)
+                stored = np.zeros(x.shape, dtype=np.float32)
+                many = pc.list_value_length(part).to_numpy(zero_copy_only=False)
+                stored[np.repeat(np.arange(len(part)), many), part.flatten().field("out_pos").to_numpy()] = 1
+                g += x.T @ x
+                s += x.sum(0)
+                met |= stored.T @ stored > 0
+        i, j = np.nonzero(np.triu(met))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(g[i, j]), pa.array(np.where(i == j, s[i], 0.0))], names=["i", "j", "g", "s"])
+
+    return cells.select("cells").mapInArrow(run, "i long, j long, g double, s double")
+
+
+def gram(am: AnnotatedMatrix, columns: DataFrame, max_block: int = 2 * MAX_FEATURES) -> DataFrame:
+    """(i, j, g) for i <= j: the sum over observations of the product of the stored entries of columns i and j. Up to
+    max_block columns, each task multiplies its own rows as a matrix and gives one sum per pair of columns; beyond that
+    a self-join by observation, at the cost of the squared entries of a row, keeps nothing of the size of columns
+    squared in one place."""
     xs = am.x.join(columns.select("var_idx", "out_pos"), "var_idx")
+    width = columns.agg(F.coalesce(F.max("out_pos") + 1, F.lit(0))).first()[0]
+    if width <= max_block:
+        return _products(cell_lists(xs), width).groupBy("i", "j").agg(F.sum("g").alias("g"))
     left = xs.select("obs_idx", F.col("out_pos").alias("i"), F.col("value").alias("a"))
     right = xs.select("obs_idx", F.col("out_pos").alias("j"), F.col("value").alias("b"))
     return left.join(right, "obs_idx").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
@@ -45,8 +77,6 @@ def pca(
     constant column contributes nothing. The driver gets the cross-product of the chosen columns, at most
     max_features squared numbers whatever the observations, and solves its eigenproblem. The sign of a component makes
     its largest loading positive."""
-    import numpy as np
-
     if n_components < 1:
         raise ValueError("one component at least")
     spark = am.x.sparkSession
@@ -57,17 +87,19 @@ def pca(
         raise ValueError(f"more than {max_features} variables are selected")
     p = len(chosen)
     columns = F.broadcast(spark.createDataFrame(chosen, "var_idx long, out_pos long"))
-    n = am.obs.count()
+    ids = am.obs.select("obs_idx").persist()
+    n = ids.count()
     if n < 2:
         raise ValueError("two observations at least")
     k = min(n_components, p)
 
     sums, g = np.zeros(p), np.zeros((p, p))
-    xs = am.x.join(columns, "var_idx")
-    for r in xs.groupBy("out_pos").agg(F.sum("value").alias("s")).collect():
-        sums[r.out_pos] = r.s
-    for r in gram(am, columns).collect():
+    # One pass over the entries, kept for the scores; a lost executor's part is computed again.
+    cells = cell_lists(am.x.join(columns, "var_idx")).persist()
+    for r in _products(cells, p).groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("s").alias("s")).collect():
         g[r.i, r.j] = g[r.j, r.i] = r.g
+        if r.i == r.j:
+            sums[r.i] = r.s
     mean = sums / n
     std = np.sqrt(np.maximum(np.diag(g) / n - mean**2, 0.0))
     shift = mean if center else np.zeros(p)
@@ -82,12 +114,20 @@ def pca(
     ratio = (values[:k] / total if total > 0 else np.zeros(k)).tolist()
 
     weight = vectors * inverse[:, None]
-    offset = (shift @ weight).tolist()
-    table = spark.createDataFrame([(v, *map(float, weight[i])) for v, i in chosen], "var_idx long, " + ", ".join(f"w{c} double" for c in range(k)))
-    parts = [F.sum(F.col("value") * F.col(f"w{c}")).alias(f"s{c}") for c in range(k)]
-    scores = am.x.join(F.broadcast(table), "var_idx").groupBy("obs_idx").agg(*parts)
-    vec = F.array(*[F.coalesce(F.col(f"s{c}"), F.lit(0.0)) - F.lit(offset[c]) for c in range(k)])
-    scores = am.obs.select("obs_idx").join(scores, "obs_idx", "left").select("obs_idx", vec.alias("vec"))
+    offset = shift @ weight
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, DENSE_CELLS // p)
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                found = scatter(part.column("cells"), p) @ weight - offset
+                offsets = pa.array(np.arange(0, found.size + 1, k), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("obs_idx"), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["obs_idx", "vec"])
+
+    scores = cells.mapInArrow(project, "obs_idx long, vec array<double>")
+    nothing = F.array(*[F.lit(float(-o)) for o in offset])
+    scores = ids.join(scores, "obs_idx", "left").select("obs_idx", F.coalesce("vec", nothing).alias("vec"))
 
     loading = vectors * (divisor[:, None] if scale else 1.0)
     some = spark.createDataFrame([(v, [float(y) for y in loading[i]]) for v, i in chosen], "var_idx long, vec array<double>")

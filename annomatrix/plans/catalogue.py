@@ -158,7 +158,7 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def pca_sparse(spark: SparkSession, d: str) -> DataFrame:
     """Filter, choose the 25 most variable parts, and project; the usual chain."""
-    am = O.filter_var(O.filter_obs(orders_by_part(spark, d), Absolute(2)), Absolute(3))
+    am = O.filter_var(O.filter_obs(orders_by_part(spark, d), Absolute(2)), Absolute(3)).persist()
     return O.pca(am, 5, features=FeatureSelection.top_variance(25)).matrix.obsm["X_pca"]
 
 
@@ -249,6 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "var_threshold": f"with {X1}, {VARIANCE} select var_idx, row_number() over (order by var_idx) - 1 as out_pos from v where variance > 200",
         "flagged_features": "select p_partkey var_idx, row_number() over (order by p_partkey) - 1 as out_pos from part where p_size > 40",
         "all_features": "select p_partkey var_idx, row_number() over (order by p_partkey) - 1 as out_pos from part",
+        "random_features": "select var_idx, row_number() over (order by h, var_idx) - 1 as out_pos from (select p_partkey var_idx, md5(concat_ws(':', '7', p_partkey::varchar)) h from part order by h, var_idx limit 20)",
         "to_dense": f"with {X2}, o as (select distinct user_id obs_idx from events) select obs_idx, var_idx as position, round(coalesce(value, 0.0), 6) as value from o cross join var left join x using (obs_idx, var_idx)",
         "dense_selected": f"with {X3} select obs_idx, ({select3})::bigint as position, round(value, 6) as value from x where var_idx in (7, 3, 11)",
         "subset_slice": f"with {X3} select obs_idx, var_idx, round(value, 6) as value from x where var_idx >= 2 and var_idx < 20 and (var_idx - 2) % 3 = 0",
