@@ -80,11 +80,13 @@ class AnnotatedMatrix:
         return self.var.select("var_idx", "var_name")
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> AnnotatedMatrix:
-        """Caches x, for several operators over one bundle."""
-        return replace(self, x=self.x.persist(level))
+        """Caches x, obs and var, for several operators over one bundle: after a filter, each of the three would run
+        through the entries anew."""
+        return replace(self, x=self.x.persist(level), obs=self.obs.persist(level), var=self.var.persist(level))
 
     def unpersist(self) -> AnnotatedMatrix:
-        self.x.unpersist()
+        for df in (self.x, self.obs, self.var):
+            df.unpersist()
         return self
 
     def copy(self) -> AnnotatedMatrix:

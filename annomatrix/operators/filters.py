@@ -12,8 +12,8 @@ from .stats import axis_stats
 
 
 def kept_ids(am: AnnotatedMatrix, direction: Direction, lower: Limit, upper: Limit, huge_axis: bool = False) -> DataFrame:
-    """Ids within both limits. Empty groups count as 0 entries of sum 0, also for the quantiles. huge_axis computes
-    quantiles eagerly without gathering sums in one task."""
+    """Ids within both limits. Empty groups count as 0 entries of sum 0, also for the quantiles. huge_axis finds
+    the quantiles by jobs of their own, whose plan then holds numbers; the result is the same."""
     lower, upper = check(lower), check(upper)
     if isinstance(lower, Unbounded) and isinstance(upper, Unbounded):
         return am.axis(direction).select(direction.key)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Absolute, Limit, Relative, Unbounded
@@ -27,17 +28,32 @@ def predicate(lower: Limit, upper: Limit) -> Column:
     return keep
 
 
-def quantile_row(stats: DataFrame, lower: Limit, upper: Limit) -> DataFrame | None:
+def _quantile(stats: DataFrame, p: float, name: str, accuracy: int) -> DataFrame:
+    """One row with the exact quantile. NaN counts as the largest sum."""
+    rank = lambda c: F.when(F.isnan(c), F.lit(float("inf"))).otherwise(F.col(c))
+    slack = 2.0 / accuracy
+    ends = F.percentile_approx(rank("sum"), [max(0.0, p - slack), min(1.0, p + slack)], accuracy)
+    bracket = stats.agg(F.count("sum").alias("n"), ends.alias("ends"))
+    inside = stats.select("sum").join(F.broadcast(bracket)).where(rank("sum") <= F.col("ends")[1])  # one row
+    # What lies below the bracket is one group, of a null s.
+    groups = inside.groupBy(F.when(rank("sum") >= F.col("ends")[0], F.col("sum")).alias("s"), "n").agg(F.count(F.lit(1)).alias("times"))
+    seen = groups.withColumn("seen", F.sum("times").over(Window.orderBy(F.asc_nulls_first("s")))).withColumn("at", F.lit(p) * (F.col("n") - 1))
+    low, high = (F.min(F.when(F.col("seen") > f(F.col("at")), F.col("s"))).alias(c) for f, c in ((F.floor, "low"), (F.ceil, "high")))
+    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    return seen.agg(low, high, F.max("at").alias("at")).select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias(name))
+
+
+def quantile_row(stats: DataFrame, lower: Limit, upper: Limit, accuracy: int = 10_000) -> DataFrame | None:
     """One row with q_lower and q_upper over every group's sum, in the plan; None if no limit is relative.
 
-    percentile keeps the distinct sums in one final task, which suits axes up to some ten million; bracketed() below
-    does without."""
-    ps = [(n, x.p) for n, x in (("q_lower", lower), ("q_upper", upper)) if isinstance(x, Relative)]
-    return stats.agg(*[F.percentile("sum", F.lit(p)).alias(n) for n, p in ps]) if ps else None
+    A mergeable sketch brackets the two neighbouring ranks; only the distinct sums inside the bracket, some
+    4/accuracy of the axis, meet in one task."""
+    rows = [_quantile(stats, x.p, n, accuracy) for n, x in (("q_lower", lower), ("q_upper", upper)) if isinstance(x, Relative)]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), rows) if rows else None  # one row each
 
 
 def bracketed(values: DataFrame, column: str, p: float, accuracy: int = 10_000) -> float | None:
-    """The same exact quantile for axes of any length. A mergeable sketch brackets the two neighbouring ranks, one
+    """The same quantile as a number, found by jobs of its own. A mergeable sketch brackets the two neighbouring ranks, one
     pass counts what lies below the bracket, and only the distinct values inside it, some 8/accuracy of all, are
     sorted. None for no values."""
     slack = 2.0 / accuracy

@@ -4,10 +4,13 @@ the driver draws is bounded by the size of the picture and not by the observatio
 from __future__ import annotations
 
 import colorsys
+import math
 import struct
+import warnings
 import zlib
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import finite
@@ -34,10 +37,35 @@ def _png(path: str, pixels) -> None:
         f.write(b"\x89PNG\r\n\x1a\n" + head + text)
 
 
+def _drawn(spark: SparkSession, width: int, height: int, texts: list[tuple[str, int, int, int, float, bool]]):
+    """How far each pixel is covered by texts: (text, x, y, size, part of its width left of x, upright). The JVM draws
+    them; where it has no fonts, a warning says so and nothing is covered."""
+    import numpy as np
+
+    awt = spark._jvm.java.awt
+    try:
+        spark._jvm.java.lang.System.setProperty("java.awt.headless", "true")
+        image = awt.image.BufferedImage(width, height, awt.image.BufferedImage.TYPE_BYTE_GRAY)
+        g = image.createGraphics()
+        for text, x, y, size, left, upright in texts:
+            g.setFont(awt.Font("SansSerif", 0, size))
+            turned = g.getTransform()
+            if upright:
+                g.rotate(-math.pi / 2, float(x), float(y))
+            g.drawString(text, int(x - left * g.getFontMetrics().stringWidth(text)), y)
+            g.setTransform(turned)
+        g.dispose()
+        cover = np.frombuffer(image.getRaster().getDataBuffer().getData(), dtype="uint8")
+    except Py4JError as e:
+        warnings.warn(f"the plot has no text, as the JVM draws none: {e}", stacklevel=3)
+        cover = np.zeros(width * height, dtype="uint8")
+    return cover.reshape(height, width, 1) / 255
+
+
 def plot_pca(
     am: AnnotatedMatrix, path: str, label: str | None = None, settings: PcaPlotSettings | None = None, key: str = "X_pca"
 ) -> dict[str, tuple[int, int, int]]:
-    """Writes a PNG of two components of an embedding and returns the colour of each label. label names an obs column;
+    """Writes a PNG of two components of an embedding, with title, axis labels and legend, and returns the colour of each label. label names an obs column;
     its distinct values, in sorted order, get evenly spaced hues. Points with a coordinate that is not finite are left
     out; it is an error if none is left, or if there are more than 64 labels."""
     import numpy as np
@@ -73,8 +101,18 @@ def plot_pca(
         cx, cy = MARGIN + spot.cx, MARGIN + h - 1 - spot.cy
         area = img[max(0, cy - r) : cy + r + 1, max(0, cx - r) : cx + r + 1]
         area[:] = area * (1 - s.point_alpha) + np.array(colors[spot.label]) * s.point_alpha
+    half, step = MARGIN // 2, min(16, max(1, h // max(1, len(labels))))
+    texts = [
+        (s.title, s.width // 2, half + 6, 16, 0.5, False),
+        (s.x_label, s.width // 2, s.height - half + 5, 12, 0.5, False),
+        (s.y_label, half + 5, s.height // 2, 12, 0.5, True),
+    ]
     if label is not None:
+        side = max(1, min(8, step - 1))
         for i, n in enumerate(labels):
-            img[MARGIN + 8 * i : MARGIN + 8 * i + 6, s.width - MARGIN // 2 : s.width - MARGIN // 2 + 6] = colors[n]
+            img[MARGIN + step * i : MARGIN + step * i + side, s.width - half : s.width - half + side] = colors[n]
+            texts.append((n, s.width - half - 4, MARGIN + step * i + side, max(6, min(11, step)), 1.0, False))
+    cover = _drawn(am.x.sparkSession, s.width, s.height, [t for t in texts if t[0]])
+    img = img * (1 - cover) + np.array(ink) * cover
     _png(path, img.clip(0, 255).astype("uint8"))
     return colors

@@ -1,5 +1,8 @@
 import math
 import os
+import pickle
+import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from hypothesis import strategies as st
 from annomatrix import Absolute, AnnotatedMatrix, ComputationMode, Direction, FeatureSelection, FileScope, Relative, Unbounded
 from annomatrix import operators as O
 from annomatrix.operators.dense import reindex
-from annomatrix.operators.limits import bracketed
+from annomatrix.operators.limits import bracketed, quantile_row
 from annomatrix.plotting import PcaPlotSettings, plot_pca
 from annomatrix.sources import from_dense, from_triplets, read_matrix, write_matrix
 from annomatrix.sources.h5ad import read_h5ad
@@ -234,3 +237,122 @@ def test_h5ad_needs_h5py(spark, tmp_path):
     except ImportError:
         with pytest.raises(RuntimeError):
             read_h5ad(spark, os.fspath(tmp_path / "a.h5ad"))
+
+
+#: Stands in for h5py, which is not installed: a file is a pickled tree of (attributes, children or array).
+H5 = """
+import pickle
+
+
+class Group(dict):
+    attrs = {}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+class Data:
+    attrs = {}
+
+    def __init__(self, values):
+        self.values, self.shape, self.dtype = values, values.shape, values.dtype
+
+    def __getitem__(self, at):
+        return self.values[at]
+
+
+def build(node):
+    attrs, inside = node
+    out = Group({k: build(v) for k, v in inside.items()}) if isinstance(inside, dict) else Data(inside)
+    out.attrs = attrs
+    return out
+
+
+def File(path, mode):
+    with open(path, "rb") as f:
+        return build(pickle.load(f))
+"""
+
+
+def h5_tree(kind="csr_matrix", **more):
+    data = lambda v, **attrs: (attrs, np.array(v))
+    obs = {
+        "names": data([b"a", b"b", b"c"]),
+        "depth": data([1.5, 2.5, 3.5]),
+        "cell": ({}, {"codes": data([1, -1, 0]), "categories": data([b"x", b"y"])}),
+        "old": data([0, 1, -1]),
+        "__categories": ({}, {"old": data([7, 9])}),
+        "maybe": ({}, {"values": data([2**53 + 1, 0, 5]), "mask": data([False, True, False])}),
+    }
+    x = {"indptr": data([0, 2, 2, 3]), "indices": data([0, 1, 1]), "data": data([4.0, 0.0, 6.0])}
+    parts = {
+        "X": ({"encoding-type": kind}, x),
+        "obs": ({"_index": "names"}, obs | more),
+        "var": ({}, {"_index": data([b"g", b"h"] if kind == "csr_matrix" else [b"g", b"h", b"i"])}),
+        "obsm": ({}, {"X_pca": data([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])}),
+        "varm": ({}, {}),
+    }
+    return {}, parts
+
+
+def test_h5ad_reads_every_column(spark, tmp_path, monkeypatch):
+    (tmp_path / "h5py.py").write_text(H5)
+    monkeypatch.setattr(sys, "path", [*sys.path])
+    monkeypatch.setitem(sys.modules, "h5py", None)
+    monkeypatch.delitem(sys.modules, "h5py")
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    path = str(tmp_path / "m.h5ad")
+
+    def stored(tree):
+        with open(path, "wb") as f:
+            pickle.dump(tree, f)
+
+    stored(h5_tree())
+    am = read_h5ad(spark, path, cache=True)
+    got = [tuple(r) for r in am.obs.select("obs_idx", "obs_name", "depth", "cell", "old", "maybe").orderBy("obs_idx").collect()]
+    assert got == [(0, "a", 1.5, "y", 7, 2**53 + 1), (1, "b", 2.5, None, 9, None), (2, "c", 3.5, "x", None, 5)]
+    assert sorted(tuple(r) for r in am.x.collect()) == [(0, 0, 4.0), (0, 1, 0.0), (2, 1, 6.0)]
+    assert by_key(am.obsm["X_pca"]) == {0: ([1.0, 2.0],), 1: ([3.0, 4.0],), 2: ([5.0, 6.0],)} and am.varm == {}
+    am.unpersist()
+    stored(h5_tree("csc_matrix"))
+    am = read_h5ad(spark, path)
+    assert am.layout == "csc" and sorted(tuple(r) for r in am.x.collect()) == [(0, 0, 4.0), (1, 0, 0.0), (1, 2, 6.0)]
+    stored(h5_tree(nested=({}, {"deep": ({}, {})})))
+    with pytest.raises(ValueError, match="obs/nested"):
+        read_h5ad(spark, path)
+    assert "nested" not in read_h5ad(spark, path, skip=("obs/nested",)).obs.columns
+
+
+@pytest.mark.parametrize("p", [0.0, 0.013, 0.5, 0.97, 1.0])
+def test_quantile_in_the_plan_is_exact(spark, p):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 5, 3000).round(1), np.full(2000, 1.5), [np.inf]])
+    df = spark.createDataFrame([(float(x),) for x in v], "sum double").repartition(5)
+    want = lambda q: np.quantile(v, q, method="lower" if q in (0, 1) else "linear")
+    row = quantile_row(df, Relative(p), Relative(1 - p), accuracy=200).first()
+    assert (row.q_lower, row.q_upper) == pytest.approx((want(p), want(1 - p)))
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "sum double")
+    row = quantile_row(nan, Relative(0.5), Relative(1.0)).first()
+    assert row.q_lower == 2.0 and np.isnan(row.q_upper)
+    assert quantile_row(df.limit(0), Relative(p), Unbounded()).first().q_lower is None
+
+
+def test_plot_draws_text(spark, tmp_path):
+    am = O.pca(matrix(spark, SMALL, 4, 4), 2).matrix
+    plain, full = str(tmp_path / "a.png"), str(tmp_path / "b.png")
+    plot_pca(am, plain, settings=PcaPlotSettings().with_title("").with_labels("", ""))
+    plot_pca(am, full, settings=PcaPlotSettings().with_title("A title").with_labels("first", "second"))
+
+    def pixels(path):
+        raw = open(path, "rb").read()
+        at = raw.index(b"IDAT")
+        size = int.from_bytes(raw[at - 4 : at], "big")
+        rows = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + size]), dtype="uint8")
+        return rows.reshape(600, -1)[:, 1:].reshape(600, 800, 3)
+
+    differ = (pixels(plain) != pixels(full)).any(2)
+    assert differ[:40].sum() > 50 and differ[-40:].sum() > 20 and differ[40:560, :40].sum() > 20
+    assert not differ[40:560, 40:].any()
