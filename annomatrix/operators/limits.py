@@ -28,28 +28,35 @@ def predicate(lower: Limit, upper: Limit) -> Column:
     return keep
 
 
-def _quantile(stats: DataFrame, p: float, name: str, accuracy: int) -> DataFrame:
-    """One row with the exact quantile. NaN counts as the largest sum."""
-    rank = lambda c: F.when(F.isnan(c), F.lit(float("inf"))).otherwise(F.col(c))
-    slack = 2.0 / accuracy
-    ends = F.percentile_approx(rank("sum"), [max(0.0, p - slack), min(1.0, p + slack)], accuracy)
-    bracket = stats.agg(F.count("sum").alias("n"), ends.alias("ends"))
-    inside = stats.select("sum").join(F.broadcast(bracket)).where(rank("sum") <= F.col("ends")[1])  # one row
-    # What lies below the bracket is one group, of a null s.
-    groups = inside.groupBy(F.when(rank("sum") >= F.col("ends")[0], F.col("sum")).alias("s"), "n").agg(F.count(F.lit(1)).alias("times"))
-    seen = groups.withColumn("seen", F.sum("times").over(Window.orderBy(F.asc_nulls_first("s")))).withColumn("at", F.lit(p) * (F.col("n") - 1))
-    low, high = (F.min(F.when(F.col("seen") > f(F.col("at")), F.col("s"))).alias(c) for f, c in ((F.floor, "low"), (F.ceil, "high")))
-    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
-    return seen.agg(low, high, F.max("at").alias("at")).select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias(name))
-
-
 def quantile_row(stats: DataFrame, lower: Limit, upper: Limit, accuracy: int = 10_000) -> DataFrame | None:
-    """One row with q_lower and q_upper over every group's sum, in the plan; None if no limit is relative.
+    """One row with q_lower and q_upper over every group's sum, in the plan; None if no limit is relative. NaN counts as
+    the largest sum.
 
-    A mergeable sketch brackets the two neighbouring ranks; only the distinct sums inside the bracket, some
-    4/accuracy of the axis, meet in one task."""
-    rows = [_quantile(stats, x.p, n, accuracy) for n, x in (("q_lower", lower), ("q_upper", upper)) if isinstance(x, Relative)]
-    return reduce(lambda a, b: a.join(F.broadcast(b)), rows) if rows else None  # one row each
+    A mergeable sketch brackets the two ranks around each quantile. The sums below a bracket are counted as one group,
+    so that only the distinct ones inside, some 4/accuracy of the axis, meet in one task."""
+    ps = [(n, x.p) for n, x in (("q_lower", lower), ("q_upper", upper)) if isinstance(x, Relative)]
+    if not ps:
+        return None
+    size = F.when(F.isnan("sum"), F.lit(float("inf"))).otherwise(F.col("sum"))
+    slack = 2.0 / accuracy
+    around = [e for _, p in ps for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    brackets = stats.agg(F.count("sum").alias("n"), F.percentile_approx(size, around, accuracy).alias("ends"))
+    end = lambda i: F.col("ends")[i]
+    starts = [end(2 * i) for i in range(len(ps))]
+    inside = reduce(Column.__or__, [size.between(a, end(2 * i + 1)) for i, a in enumerate(starts)])
+    above = F.array_min(F.array(*[F.when(size < a, a) for a in starts]))
+    near = stats.select("sum").join(F.broadcast(brackets)).withColumn("exact", inside)  # one row
+    near = near.select(F.when(F.col("exact"), F.col("sum")).otherwise(above).alias("s"), "exact", "n").where("s is not null")
+    counted = near.groupBy("s", "exact", "n").agg(F.count(F.lit(1)).alias("times"))
+    seen = counted.withColumn("seen", F.sum("times").over(Window.orderBy("s", "exact")))
+    found, out = [], []
+    for name, p in ps:
+        at = F.lit(p) * (F.col("n") - 1)
+        low, high = (F.min(F.when(F.col("seen") > f(at), F.col("s"))) for f in (F.floor, F.ceil))
+        found += [low.alias(f"{name}_low"), high.alias(f"{name}_high"), F.max(at - F.floor(at)).alias(f"{name}_part")]
+        low, high, part = (F.col(f"{name}_{c}") for c in ("low", "high", "part"))
+        out.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
+    return seen.agg(*found).select(*out)
 
 
 def bracketed(values: DataFrame, column: str, p: float, accuracy: int = 10_000) -> float | None:
