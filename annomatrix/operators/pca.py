@@ -1,8 +1,10 @@
-"""Principal components from one distributed cross-product of the chosen variables."""
+"""Principal components: from one distributed cross-product of the chosen variables, or, for very many of them, by passes
+that multiply a thin block."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -16,7 +18,10 @@ from ..params import FeatureSelection
 from .dense import DENSE_CELLS, cell_lists, scatter
 from .features import select_features
 
+#: Variables whose cross-product the driver takes whole.
 MAX_FEATURES = 1024
+#: Variables of which the driver takes a few numbers each.
+MAX_WIDE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -63,20 +68,79 @@ def gram(am: AnnotatedMatrix, columns: DataFrame, max_block: int = 2 * MAX_FEATU
     return left.join(right, "obs_idx").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
 
 
+def _times(cells: DataFrame, w: np.ndarray) -> np.ndarray:
+    """X'Xw, for one row of X per row of cells. Each task gives one row of sums for every variable that it meets."""
+    width, k = w.shape
+    names = [f"c{c}" for c in range(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, met = np.zeros((width, k)), np.zeros(width, dtype=bool)
+        step = max(1, DENSE_CELLS // width)
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.column("cells").slice(lo, step)
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+                at, value = (part.flatten().field(c).to_numpy() for c in ("out_pos", "value"))
+                met[at] = True
+                for c in range(k):
+                    y = np.bincount(row, value * w[at, c], minlength=len(part))
+                    m[:, c] += np.bincount(at, value * y[row], minlength=width)
+        some = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(m[some, c]) for c in range(k)]], names=["i", *names])
+
+    sums = cells.select("cells").mapInArrow(run, "i long, " + ", ".join(f"{c} double" for c in names))
+    found = sums.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((width, k))
+    out[found.column("i").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], 1)
+    return out
+
+
+def leading(times: Callable[[np.ndarray], np.ndarray], width: int, k: int, tolerance: float = 1e-9, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues and their vectors of a symmetric matrix without negative ones, of which only products
+    with thin blocks are known: a block Krylov space, restarted from its best vectors when it has grown to eight
+    blocks. Ends when no residual is above tolerance times the largest eigenvalue, or with a warning after rounds."""
+    block = min(width, k + 8)
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(0)).standard_normal((width, block)))[0]
+    v, av = np.zeros((width, 0)), np.zeros((width, 0))
+    for _ in range(rounds):
+        v, av = np.hstack([v, q]), np.hstack([av, times(q)])
+        t = v.T @ av
+        values, s = np.linalg.eigh((t + t.T) / 2)
+        values, s = values[::-1][:block], s[:, ::-1][:, :block]
+        best, image = v @ s, av @ s
+        rest = image - best * values
+        size = np.linalg.norm(rest, axis=0)
+        if size[:k].max() <= tolerance * max(values[0], 1e-300):
+            break
+        if v.shape[1] >= 8 * block:
+            v, av = best, image
+        q = rest[:, size > 1e-14 * values[0]][:, : width - v.shape[1]]
+        for _ in range(2):
+            q = np.linalg.qr(q - v @ (v.T @ q))[0]
+        if not q.shape[1]:
+            break
+    else:
+        warnings.warn(f"components have a residual of {size[:k].max() / values[0]:.1e} after {rounds} rounds", stacklevel=3)
+    return values[:k], best[:, :k]
+
+
 def pca(
     am: AnnotatedMatrix,
     n_components: int = 2,
     center: bool = True,
     scale: bool = True,
     features: FeatureSelection | None = None,
-    max_features: int = MAX_FEATURES,
+    max_features: int = MAX_WIDE,
+    max_cross: int = MAX_FEATURES,
 ) -> PcaResult:
     """Adds obsm X_pca (scores), varm PCA_loadings (all variables, zeros for those not chosen) and uns pca.
 
     Implicit zeros count here, unlike in the statistics: means and population deviations are over all observations. A
-    constant column contributes nothing. The driver gets the cross-product of the chosen columns, at most
-    max_features squared numbers whatever the observations, and solves its eigenproblem. The sign of a component makes
-    its largest loading positive."""
+    constant column contributes nothing. Of up to max_cross chosen columns the driver gets the cross-product, max_cross
+    squared numbers whatever the observations, and solves its eigenproblem. Beyond that, up to max_features columns, it
+    finds the leading components alone, by one pass over the chosen entries per product with a block of n_components + 8
+    vectors, and holds at most nine such blocks and their images. The sign of a component makes its largest loading
+    positive."""
     if n_components < 1:
         raise ValueError("one component at least")
     spark = am.x.sparkSession
@@ -93,25 +157,40 @@ def pca(
         raise ValueError("two observations at least")
     k = min(n_components, p)
 
-    sums, g = np.zeros(p), np.zeros((p, p))
-    # One pass over the entries, kept for the scores; a lost executor's part is computed again.
+    sums, squares, g = np.zeros(p), np.zeros(p), None
+    # One pass over the entries, kept for what follows; a lost executor's part is computed again.
     cells = cell_lists(am.x.join(columns, "var_idx")).persist()
-    for r in _products(cells, p).groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("s").alias("s")).collect():
-        g[r.i, r.j] = g[r.j, r.i] = r.g
-        if r.i == r.j:
-            sums[r.i] = r.s
+    if p <= max_cross:
+        found = _products(cells, p).groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("s").alias("s")).toArrow()
+        i, j, gs, s = (found.column(c).to_numpy() for c in ("i", "j", "g", "s"))
+        g = np.zeros((p, p))
+        g[i, j] = g[j, i] = gs
+        sums[i[i == j]] = s[i == j]
+        squares = np.diag(g)
+    else:
+        moments = cells.select(F.inline("cells")).groupBy("out_pos").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).toArrow()
+        at = moments.column("out_pos").to_numpy()
+        sums[at], squares[at] = moments.column("s").to_numpy(), moments.column("q").to_numpy()
     mean = sums / n
-    std = np.sqrt(np.maximum(np.diag(g) / n - mean**2, 0.0))
+    std = np.sqrt(np.maximum(squares / n - mean**2, 0.0))
     shift = mean if center else np.zeros(p)
-    divisor = np.where(std > 1e-12 * np.sqrt(np.maximum(np.diag(g) / n, 1e-300)), std, 0.0) if scale else np.ones(p)
+    divisor = np.where(std > 1e-12 * np.sqrt(np.maximum(squares / n, 1e-300)), std, 0.0) if scale else np.ones(p)
     inverse = np.divide(1.0, divisor, out=np.zeros(p), where=divisor > 0)
-    cov = (g - n * np.outer(shift, shift) if center else g) / (n - 1) * np.outer(inverse, inverse)
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1]
-    values, vectors = np.maximum(values[order], 0.0), vectors[:, order][:, :k]
+    total = ((squares - n * shift**2) * inverse**2).clip(0.0).sum() / (n - 1)
+    if g is not None:
+        values, vectors = np.linalg.eigh((g - n * np.outer(shift, shift)) / (n - 1) * np.outer(inverse, inverse))
+        order = np.argsort(values)[::-1][:k]
+        values, vectors = values[order], vectors[:, order]
+    else:
+
+        def covariance(q: np.ndarray) -> np.ndarray:
+            w = q * inverse[:, None]
+            return (_times(cells, w) - n * np.outer(shift, shift @ w)) * inverse[:, None] / (n - 1)
+
+        values, vectors = leading(covariance, p, k)
+    values = np.maximum(values, 0.0)
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
-    total = values.sum()
-    ratio = (values[:k] / total if total > 0 else np.zeros(k)).tolist()
+    ratio = (values / total if total > 0 else np.zeros(k)).tolist()
 
     weight = vectors * inverse[:, None]
     offset = shift @ weight
@@ -137,6 +216,6 @@ def pca(
         am,
         obsm=am.obsm | {"X_pca": scores},
         varm=am.varm | {"PCA_loadings": loadings},
-        uns=am.uns | {"pca": {"variance": values[:k].tolist(), "variance_ratio": ratio}},
+        uns=am.uns | {"pca": {"variance": values.tolist(), "variance_ratio": ratio}},
     )
-    return PcaResult(out, values[:k].tolist(), ratio)
+    return PcaResult(out, values.tolist(), ratio)

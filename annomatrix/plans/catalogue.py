@@ -157,8 +157,10 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pca_sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Filter, choose the 25 most variable parts, and project; the usual chain."""
-    am = O.filter_var(O.filter_obs(orders_by_part(spark, d), Absolute(2)), Absolute(3)).persist()
+    """Filter, choose the 25 most variable parts, and project; the usual chain. Each step is cached, as its three frames
+    and the next step's read it."""
+    am = O.filter_obs(orders_by_part(spark, d).persist(), Absolute(2)).persist()
+    am = O.filter_var(am, Absolute(3)).persist()
     return O.pca(am, 5, features=FeatureSelection.top_variance(25)).matrix.obsm["X_pca"]
 
 

@@ -13,6 +13,7 @@ from annomatrix import Absolute, AnnotatedMatrix, ComputationMode, Direction, Fe
 from annomatrix import operators as O
 from annomatrix.operators.dense import reindex
 from annomatrix.operators.limits import bracketed, quantile_row
+from annomatrix.operators.pca import leading
 from annomatrix.plotting import PcaPlotSettings, plot_pca
 from annomatrix.sources import from_dense, from_triplets, read_matrix, write_matrix
 from annomatrix.sources.h5ad import read_h5ad
@@ -185,6 +186,31 @@ def test_pca_limits(spark):
         O.pca(am, 2, features=FeatureSelection.variance_above(1e9))
 
 
+@pytest.mark.parametrize("center,scale", [(True, True), (False, False)])
+def test_pca_of_many_variables(spark, center, scale):
+    rng = np.random.default_rng(2)
+    dense = np.where(rng.random((50, 40)) < 0.3, rng.normal(1, 2, (50, 40)), 0.0)
+    dense[7] = dense[:, 11] = 0.0  # no entries
+    am = matrix(spark, [(i, j, float(dense[i, j])) for i in range(50) for j in range(40) if dense[i, j]], 50, 40, unique=True)
+    whole, thin = O.pca(am, 3, center, scale), O.pca(am, 3, center, scale, max_cross=8)
+    assert thin.explained_variance == pytest.approx(whole.explained_variance)
+    assert thin.explained_variance_ratio == pytest.approx(whole.explained_variance_ratio)
+    for a, b in ((whole.matrix.obsm["X_pca"], thin.matrix.obsm["X_pca"]), (whole.matrix.varm["PCA_loadings"], thin.matrix.varm["PCA_loadings"])):
+        a, b = by_key(a), by_key(b)
+        assert a.keys() == b.keys() and np.allclose([a[i][0] for i in a], [b[i][0] for i in a], atol=1e-6)
+
+
+def test_leading_eigenpairs():
+    rng = np.random.default_rng(3)
+    for width, k in ((1, 1), (12, 10), (300, 5)):
+        a = rng.standard_normal((80, width))
+        values, vectors = leading(lambda q: a.T @ (a @ q), width, k)  # noqa: B023
+        assert np.allclose(values, np.linalg.eigvalsh(a.T @ a)[::-1][:k]) and np.allclose(a.T @ (a @ vectors), vectors * values, atol=1e-5)
+    assert np.allclose(leading(lambda q: 0 * q, 5, 2)[0], 0)
+    with pytest.warns(UserWarning):
+        leading(lambda q: a.T @ (a @ q), 300, 5, rounds=2)
+
+
 def test_plot(spark, tmp_path):
     am = matrix(spark, SMALL, 4, 4)
     am = O.pca(am, 2).matrix
