@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Bytes of the rows that a Python worker gets at once, and that the JVM holds for it.
+BATCH_BYTES = 1 << 21
 _scopes: list[set[str]] = []
 
 
@@ -32,13 +34,26 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the Arrow batches of what is run inside by bytes, as those of whole texts grow large by rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to a new path of the shared folder and reads it again, so that a lost executor costs no
     recomputation of what came before. Inside scratch() the table is dropped at the end; the tables that a lazy result
     still reads stay in the folder for its owner to clear."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if _scopes:
         _scopes[-1].add(path)
     out = spark.read.schema(df.schema).parquet(path)
