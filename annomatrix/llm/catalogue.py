@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, media, mixing, near, packing, repeats, token_files, topk, toxicity, urls
+from . import divergence, html, media, mixing, near, packing, repeats, token_files, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,15 @@ def queries() -> dict[str, Query]:
         "op8_mixing": mixing.query,
         "op9_urls": urls.query,
         "op10_packing": packing.query,
+        "op11_divergence": divergence.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.ORACLE, "op5_repeats": repeats.ORACLE, "op7_near_dedup": near.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {
+        "op1_topk": topk.ORACLE,
+        "op5_repeats": repeats.ORACLE,
+        "op7_near_dedup": near.ORACLE,
+        "op8_mixing": mixing.ORACLE,
+        "op11_divergence": divergence.ORACLE,
+    }
