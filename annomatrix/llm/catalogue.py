@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, html, lexical, media, mixing, near, packing, repeats, token_files, topk, toxicity, urls
+from . import divergence, html, lexical, lm, media, mixing, near, packing, repeats, token_files, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_urls": urls.query,
         "op10_packing": packing.query,
         "op11_divergence": divergence.query,
+        "op12_lm": lm.query,
         "op13_lexical": lexical.query,
     }
 
