@@ -1,8 +1,8 @@
 """Statistics of the stored entries of each observation or variable.
 
-One hash aggregate per axis, partial on the map side, computes whatever is asked for; a left join from the axis adds
-the groups without entries. Implicit zeros take no part, stored ones do. Sums, variances and deviations of a group that
-holds NaN are NaN; minimum and maximum pass over NaN.
+Hash aggregates, partial on the map side, compute whatever is asked for; a left join from the axis adds the groups without
+entries. Implicit zeros take no part, stored ones do. Sums, variances and deviations have the same bits however the entries
+are partitioned (functions.exact). Those of a group that holds NaN are NaN; minimum and maximum pass over NaN.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import skip_nan
+from ..functions import exact, skip_nan
 from ..functions.numeric import INF, NAN
 from ..model import AnnotatedMatrix
 from ..params import ComputationMode, Direction
@@ -22,18 +22,6 @@ QC_NAMES = {
 }
 
 
-def _aggregate(name: str) -> Column:
-    v = F.col("value").cast("double")
-    return {
-        "count": F.count(F.lit(1)),
-        "sum": F.sum(v),
-        "variance": F.var_pop(v),
-        "std": F.stddev_pop(v),
-        "min": F.min(skip_nan(v)),
-        "max": F.max(skip_nan(v)),
-    }[name].alias(name)
-
-
 def _empty(name: str, native: bool) -> Column:
     """What a group without entries has. Along the layout's own axis its variance is NaN, across it 0."""
     return {
@@ -46,6 +34,28 @@ def _empty(name: str, native: bool) -> Column:
     }[name]
 
 
+def _found(x: DataFrame, key: str, which: tuple[str, ...]) -> DataFrame:
+    """The statistics of the groups that have entries. What is exact in any order takes one aggregate; sums and variances
+    take one by exponent bucket and another over each group's few buckets."""
+    v = F.col("value")
+    plain = {"count": F.count(F.lit(1)), "min": F.min(skip_nan(v)), "max": F.max(skip_nan(v))}
+    squares = bool({"variance", "std"} & set(which))
+    if not squares and "sum" not in which:
+        return x.groupBy(key).agg(*[plain[n].alias(n) for n in which])
+    x = x.withColumn("b", exact.bucket(v))
+    x = x.withColumn("a", exact.scaled(v, F.col("b")))
+    a = F.col("a")
+    lanes = exact.sum_lanes(a) + (exact.square_lanes(a) if squares else [])
+    asked = [n for n in ("min", "max") if n in which]
+    parts = x.groupBy(key, "b").agg(plain["count"].alias("n"), exact.not_finite(v).alias("odd"), *[plain[n].alias(n) for n in asked], *lanes)
+    joined = F.collect_list(F.struct("b", *exact.lane_names(squares))).alias("parts")
+    groups = parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), joined, *[getattr(F, n)(n).alias(n) for n in asked])
+    if squares:
+        groups = groups.withColumn("variance", exact.variance(F.col("n"), F.col("parts"), F.col("odd").isNull()))
+    made = {"count": F.col("n"), "sum": exact.total(F.col("parts"), F.col("odd")), "variance": F.col("variance"), "std": F.sqrt("variance")}
+    return groups.select(key, *[(made[n] if n in made else F.col(n)).alias(n) for n in which])
+
+
 def axis_stats(
     am: AnnotatedMatrix, direction: Direction, which: tuple[str, ...] = STATISTICS, mode: ComputationMode | None = None
 ) -> DataFrame:
@@ -54,7 +64,7 @@ def axis_stats(
         raise ValueError(f"no such statistics: {sorted(unknown)}")
     key = direction.key
     native = (am.layout == "csr") == direction.is_row
-    found = am.x.groupBy(key).agg(*[_aggregate(n) for n in which])
+    found = _found(am.x.select(key, F.col("value").cast("double").alias("value")), key, which)
     out = am.axis(direction).select(key).join(found, key, "left")
     return out.select(key, *[F.coalesce(F.col(n), _empty(n, native)).alias(n) for n in which])
 

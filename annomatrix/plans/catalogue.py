@@ -22,6 +22,8 @@ X1 = "x as (select l_orderkey obs_idx, l_partkey var_idx, sum(l_quantity) as val
 X2 = """var as (select event_type var_name, row_number() over (order by event_type) - 1 as var_idx from (select distinct event_type from events)),
 x as (select user_id obs_idx, var_idx, sum(value) as value from events join var on event_type = var_name group by 1, 2)"""
 X3 = "x as (select vec_id obs_idx, unnest(range(len(embedding))) var_idx, unnest(embedding)::double as value from embeddings)"
+#: Quantities are whole numbers, so that SQL has their variance from exact sums, rounded once, as the operators do.
+EXACT = "(count(value) * sum(value::hugeint * value::hugeint) - sum(value::hugeint) * sum(value::hugeint))::double / (count(value) * count(value))::double"
 OBS, VAR = "select o_orderkey obs_idx from orders", "select p_partkey var_idx from part"
 
 
@@ -40,8 +42,8 @@ def _stat_sql(direction: Direction, *which: str) -> str:
     form = {
         "count": "count(value) as count",
         "sum": "round(coalesce(sum(value), 0.0), 6) as sum",
-        "variance": f"round(coalesce(var_pop(value), {empty}), 6) as variance",
-        "std": f"round(coalesce(stddev_pop(value), {empty}), 6) as std",
+        "variance": f"round(case when count(value) = 0 then {empty} else {EXACT} end, 6) as variance",
+        "std": f"round(case when count(value) = 0 then {empty} else sqrt({EXACT}) end, 6) as std",
         "min": "coalesce(min(value), 'inf'::double) as min",
         "max": "coalesce(max(value), '-inf'::double) as max",
     }
@@ -115,7 +117,7 @@ select obs_idx, var_idx, round({form}, 6) as value from x join s using ({key})""
 
 SCALED = "case when total = 0 then 0.0 else value * (10000.0 / total) end"
 RANKED = "variance desc, var_idx"
-VARIANCE = f"v as (select p_partkey var_idx, coalesce(var_pop(value), 0.0) variance from part left join x on p_partkey = var_idx group by 1)"
+VARIANCE = f"v as (select p_partkey var_idx, case when count(value) = 0 then 0.0 else {EXACT} end as variance from part left join x on p_partkey = var_idx group by 1)"
 
 
 def _features(how: FeatureSelection) -> Query:
