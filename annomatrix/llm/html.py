@@ -89,6 +89,9 @@ CLOSES = {
 }
 #: Columns of indentation at most; deeper levels share them.
 INDENT = 80
+#: Ranges of columns that cells of earlier rows hold of a row at most, and characters of padding of a row for them and
+#: within cells that span columns.
+HELD, SPANNED = 8, 80
 
 
 class Node:
@@ -133,7 +136,7 @@ def _node(tag: str, attributes: str) -> Node:
     for m in ATTRIBUTE.finditer(attributes):
         a.setdefault(m[1].lower(), unescape(next((v for v in m.groups()[1:] if v is not None), "")))
     hidden = "hidden" in a or bool(HIDING.search(a.get("style", ""))) or tag == "input" and a.get("type", "").lower() == "hidden"
-    return Node(tag, hidden, _number(a.get("start"), -999_999, 999_999, 1), _number(a.get("colspan"), 1, 1000, 1), _rows(a.get("rowspan")), a)
+    return Node(tag, hidden, _number(a.get("start"), -(2**31), 2**31 - 1, 1), _number(a.get("colspan"), 1, 1000, 1), _rows(a.get("rowspan")), a)
 
 
 def _foreign(tag: str, attributes: str, parent: Node) -> Node:
@@ -488,29 +491,66 @@ def _plain(root: Node) -> str:
     return "".join(parts)
 
 
-def _placed(cells: list[tuple[str, int, int]], held: list[tuple[int, int, int]]) -> tuple[list, list]:
-    """The cells (text, span, down) of a row as (column, text, span), with empty ones where cells from above hold
-    columns (column, span, rows left, 0 without end) up to the last cell; and what is held of the next row."""
+Held = tuple[int, int, int, bool]  # column, columns, rows left (0 without end), whether each of the columns is a cell's own
+
+
+def _placed(cells: list[tuple[str, int, int]], held: list[Held]) -> tuple[list, list[Held]]:
+    """The cells (text, span, down) of a row as (column, text, span), with empty ones where cells from above hold columns, up
+    to the last cell; and what is held of the next row. Neighbours that are held alike are one range, of text None."""
     row, at, last = [], 0, 0
     ahead = deque(held)
-    down_from = [(lo, span, left and left - 1) for lo, span, left in held if left != 1]
+    below = [(lo, span, left and left - 1, ones) for lo, span, left, ones in held if left != 1]
     for text, span, down in cells:
         while ahead and ahead[0][0] <= at:
-            lo, wide, _ = ahead.popleft()
+            lo, wide, _, ones = ahead.popleft()
             if lo + wide > at:
-                row.append((at, "", lo + wide - at))
+                row.append((at, None if ones else "", lo + wide - at))
                 at = lo + wide
         row.append((at, text, span))
         last = len(row)
         if down != 1:
-            down_from.append((at, span, down and down - 1))
+            below.append((at, span, down and down - 1, span == 1))
         at += span
-    return row[:last], sorted(down_from)
+    joined: list[Held] = []
+    below.sort()
+    for lo, span, left, ones in below:
+        if ones and joined and joined[-1][3] and joined[-1][2] == left and joined[-1][0] + joined[-1][1] == lo:
+            joined[-1] = (joined[-1][0], joined[-1][1] + span, left, True)
+        else:
+            joined.append((lo, span, left, ones))
+    return row[:last], joined[:HELD]
+
+
+def _padded(row: list[tuple[int, str | None, int]], used: list[int], before: list[int]) -> str:
+    """A row's cells, padded to their columns; before has the width of all used columns before each."""
+    parts, left = [], SPANNED
+    for at, text, span in row:
+        lo, hi = bisect_left(used, at), bisect_left(used, at + span)
+        room = before[hi] - before[lo] - 3
+        if text is None:
+            parts.append("")
+            for i in range(lo, hi):
+                wide = before[i + 1] - before[i] - 3
+                if wide > left:
+                    break
+                left -= wide + 3
+                if i > lo:
+                    parts.append("")
+                parts[-1] = " " * wide
+        elif span > 1:
+            pad = min(max(0, room - len(text)), left)
+            left -= pad
+            parts.append(text + " " * pad)
+        else:
+            parts.append(text.ljust(room))
+    return " | ".join(parts)
 
 
 def table(root: Node, tables: dict[int, list[str]]) -> list[str]:
     """Rows with cells padded to the width of their column; a cell's lines are joined by a space. Cells that span
-    columns, and captions, do not widen a column. Below a cell that spans rows its columns stay empty."""
+    columns, and captions, do not widen a column. Below a cell that spans rows its columns stay empty: up to HELD ranges of
+    them, from the left. Padding within spans, and below such cells, ends at SPANNED characters a row, so that a page's text
+    grows with the page."""
     captions, rows = [], []
     group, held = root, []  # the row group, and what its cells hold of the next row
     todo = [(c, root) for c in reversed(root.children)]
@@ -540,17 +580,15 @@ def table(root: Node, tables: dict[int, list[str]]) -> list[str]:
     widths: dict[int, int] = {}
     for row in rows:
         for at, text, span in row:
-            widths[at] = max(widths.get(at, 0), len(text) if span == 1 else 0)
+            if text is not None:
+                widths[at] = max(widths.get(at, 0), len(text) if span == 1 else 0)
     used = sorted(widths)  # columns in which a cell begins
     before = [0, *accumulate(widths[i] + 3 for i in used)]
     lines = list(captions)
     for row in rows:
-        parts = []
-        for at, text, span in row:
-            room = before[bisect_left(used, at + span)] - before[bisect_left(used, at)] - 3
-            parts.append(text.ljust(room))
-        if any(p.strip() for p in parts):
-            lines.append(" | ".join(parts).rstrip())
+        line = _padded(row, used, before)
+        if any(text for _, text, _ in row):
+            lines.append(line.rstrip())
     return lines
 
 
