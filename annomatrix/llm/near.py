@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import groups, materialize, scratch
+from .shared import groups, materialize, quoted, scratch
 from .words import Runs, chunks, mix, signed
 
 SHINGLE = 5
@@ -353,7 +353,7 @@ def keep(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, block_docs:
         gone = rows.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("id"))
         gone = materialize(gone.join(stay.select("id"), "id", "left_anti").distinct(), "gone")
         kept += [stay, gone] if shared is None else [stay, gone, shared]
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     own = whole.where("id is not null").join(gone, "id", "left_anti")
     null = whole.where("id is null").select("row.*")
     if shared is None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, scratch
+from .shared import materialize, quoted, scratch
 from .skew import join_counted
 from .words import Runs, chunks, mix, signed
 
@@ -83,7 +83,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """row (all columns), text, _id and _mark, which tell documents apart."""
     text = F.col("text").cast("string")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark")]
-    return docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), *key)
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), text.alias("text"), *key)
 
 
 def occurrences(keyed: DataFrame, window: int, anchor: int) -> DataFrame:

@@ -18,6 +18,11 @@ BATCH_BYTES = 1 << 21
 _scopes: list[set[str]] = []
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset, a session of one machine gets a temporary folder, and
     one on a cluster an error, as no folder of a single machine is seen by the others."""

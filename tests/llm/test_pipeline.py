@@ -92,3 +92,14 @@ def test_run_and_edges(spark, make_docs, edges):
         for r in docs.collect():
             seqs[r.sequence_id] += r.length
         assert all(n <= 1024 for n in seqs.values())
+
+
+def test_columns_of_any_name(spark):
+    """Every stage but the last keeps columns with dots, backticks, spaces and names of its own, with their values."""
+    names = ["a.b", "of.`it`", "row", "others", "size", "word count", "doc_id.x", "kept", "ranges"]
+    docs = spark.createDataFrame([(i, f"w{i} " * 8 + "and so on", "en", f"s{i % 3}", 9, *[f"{c}{i}" for c in names]) for i in range(40)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, DIR), f"names-{name}")
+        assert out.columns == docs.columns
+        assert out.count() and all(r[names.index(c) + 5] == f"{c}{r[0]}" for r in out.collect() for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() >= 40
