@@ -8,7 +8,8 @@ takes effect: the mix repeats a document as often as it takes it and leaves out
 What a stage makes of nulls, empty and very long texts, repeated rows and empty tables is said by its operator: rows of
 a null doc_id or text pass the first four stages (a text without words is not mixed, as it has no size), repeated rows
 come down to one in the second, and an empty table gives an empty one. Other columns, whatever their names, go through
-the first four stages unchanged, but for n_chars where a text is cut.
+the first four stages unchanged, but for n_chars where a text is cut. Names that differ in case alone, which Spark cannot
+tell apart unless spark.sql.caseSensitive is set, are an error.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annomatrix.llm import mixing, near, packing, repeats, toxicity
-from annomatrix.llm.shared import drop, materialize, scratch
+from annomatrix.llm.shared import drop, materialize, quoted, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SIMILARITY = 80
@@ -35,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text."""
-    others = F.struct(F.lit(True).alias("_"), *[F.col(c).alias(f"of_{c}") for c in docs.columns if c != "text"])
+    others = F.struct(F.lit(True).alias("_"), *[F.col(quoted(c)).alias(f"of_{c}") for c in docs.columns if c != "text"])
     out = repeats.remove_repeats(docs.select("doc_id", "text", others.alias("others")))
     own = {c: F.col("text") if c == "text" else F.col("others")[f"of_{c}"] for c in docs.columns}
     if "n_chars" in own:
@@ -53,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         plan = materialize(plan.where("times > 0"), "mix-times")
         kept.append(plan)
     own = [F.col("doc_id").cast("long"), mixing.mark_of(F.col("text")), F.col("source").cast("string")]
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(f"own_{k}") for k, c in zip(key, own, strict=True)])
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), *[c.alias(f"own_{k}") for k, c in zip(key, own, strict=True)])
     taken = whole.join(plan, [F.col(f"own_{k}").eqNullSafe(F.col(k)) for k in key])
     turns = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
     once = taken.where("rows = 1")
