@@ -6,6 +6,8 @@ from .selection import select_indices, select_mask, select_slice
 from . import stats
 from .stats import axis_stats, compute_min_max, compute_number, compute_std_dev, compute_sum, compute_variance, qc, qc_variables
 from .transforms import log1p, normalize_total
+from .neighbors import nearest
+from .embedding import tsne
 
 __all__ = [
     "PcaResult",
@@ -21,6 +23,7 @@ __all__ = [
     "filter_var",
     "gram",
     "log1p",
+    "nearest",
     "normalize_total",
     "pca",
     "qc",
@@ -31,4 +34,5 @@ __all__ = [
     "select_slice",
     "to_dense",
     "to_dense_selected",
+    "tsne",
 ]

@@ -176,6 +176,18 @@ def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
     return O.pca(vectors(spark, d), 3).matrix.varm["PCA_loadings"]
 
 
+def tsne_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The first rounds of t-SNE over ten components of all vectors."""
+    return O.tsne(O.pca(vectors(spark, d), 10).matrix, perplexity=20, rounds=8).obsm["X_tsne"]
+
+
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's five nearest others, by rank. One centre, so that the result is exact up to CELL_POINTS vectors."""
+    points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("obs_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    near = O.nearest(points, 5, centres=1)
+    return near.select("obs_idx", F.posexplode("near").alias("rank", "n")).select("obs_idx", F.col("rank").cast("long").alias("rank"), F.round("n.d2", 4).alias("d2"))
+
+
 def range_of_vectors(spark: SparkSession, d: str) -> DataFrame:
     points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
     return _round(plot_range(points, "a", "b"), "x_min", "x_max", "y_min", "y_max")
@@ -231,6 +243,8 @@ def queries() -> dict[str, Query]:
         "pca_sparse": pca_sparse,
         "pca_evr": pca_variance,
         "pca_loadings": pca_loadings,
+        "tsne": tsne_vectors,
+        "nearest": nearest_vectors,
         "plot_range": range_of_vectors,
     }
 
@@ -259,5 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "subset_slice": f"with {X3} select obs_idx, var_idx, round(value, 6) as value from x where var_idx >= 2 and var_idx < 20 and (var_idx - 2) % 3 = 0",
         "subset_mask": f"with {X1} select x.* from x join part on p_partkey = var_idx where p_size > 40",
         "gram": f"with {X3} select a.var_idx as i, b.var_idx as j, round(sum(a.value * b.value), 6) as g from x a join x b using (obs_idx) where a.var_idx <= b.var_idx group by 1, 2",
+        "nearest": """with p as (select a.vec_id as obs_idx, b.vec_id as o, list_distance(a.embedding::double[], b.embedding::double[]) ** 2 as d2 from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by obs_idx order by d2, o) - 1 as rank from p) select obs_idx, rank, round(d2, 4) as d2 from r where rank < 5""",
         "plot_range": "select round(min(embedding[1])::double, 6) as x_min, round(max(embedding[1])::double, 6) as x_max, round(min(embedding[2])::double, 6) as y_min, round(max(embedding[2])::double, 6) as y_max from embeddings",
     }
