@@ -8,9 +8,14 @@ from .stats import axis_stats, compute_min_max, compute_number, compute_std_dev,
 from .transforms import log1p, normalize_total
 from .neighbors import nearest
 from .embedding import tsne
+from .components import PrincipalComponents, PrincipalComponentsModel, SvdResult, apply_components, fit_components, svd
 
 __all__ = [
     "PcaResult",
+    "PrincipalComponents",
+    "PrincipalComponentsModel",
+    "SvdResult",
+    "apply_components",
     "axis_stats",
     "compute_min_max",
     "compute_number",
@@ -21,6 +26,7 @@ __all__ = [
     "filter_genes",
     "filter_obs",
     "filter_var",
+    "fit_components",
     "gram",
     "log1p",
     "nearest",
@@ -32,6 +38,7 @@ __all__ = [
     "select_indices",
     "select_mask",
     "select_slice",
+    "svd",
     "to_dense",
     "to_dense_selected",
     "tsne",

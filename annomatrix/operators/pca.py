@@ -29,6 +29,13 @@ class PcaResult:
     matrix: AnnotatedMatrix
     explained_variance: list[float]
     explained_variance_ratio: list[float]
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> PcaResult:
+        """Gives back what the scores keep cached; they are still found, from the entries, when read again."""
+        for df in self.cached:
+            df.unpersist()
+        return self
 
 
 def _products(cells: DataFrame, width: int) -> DataFrame:
@@ -218,4 +225,4 @@ def pca(
         varm=am.varm | {"PCA_loadings": loadings},
         uns=am.uns | {"pca": {"variance": values.tolist(), "variance_ratio": ratio}},
     )
-    return PcaResult(out, values.tolist(), ratio)
+    return PcaResult(out, values.tolist(), ratio, (ids, cells))

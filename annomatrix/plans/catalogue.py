@@ -176,6 +176,19 @@ def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
     return O.pca(vectors(spark, d), 3).matrix.varm["PCA_loadings"]
 
 
+def pca_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Squared length of every row's scores by a fitted model of all components, which is that of the scaled row itself."""
+    am = vectors(spark, d)
+    scores = O.apply_components(am, O.fit_components(am, am.n_vars())).obsm["X_pca"]
+    return scores.select("obs_idx", F.round(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v), DIGITS).alias("d2"))
+
+
+def svd_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The left vectors of the sparse matrix over its 25 most variable parts, by a QR of its rows."""
+    am = orders_by_part(spark, d).persist()
+    return O.svd(am, 5, FeatureSelection.top_variance(25)).matrix.obsm["X_svd"]
+
+
 def tsne_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The first rounds of t-SNE over ten components of all vectors."""
     return O.tsne(O.pca(vectors(spark, d), 10).matrix, perplexity=20, rounds=8).obsm["X_tsne"]
@@ -243,6 +256,8 @@ def queries() -> dict[str, Query]:
         "pca_sparse": pca_sparse,
         "pca_evr": pca_variance,
         "pca_loadings": pca_loadings,
+        "pca_lengths": pca_lengths,
+        "svd": svd_orders,
         "tsne": tsne_vectors,
         "nearest": nearest_vectors,
         "plot_range": range_of_vectors,
@@ -273,6 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "subset_slice": f"with {X3} select obs_idx, var_idx, round(value, 6) as value from x where var_idx >= 2 and var_idx < 20 and (var_idx - 2) % 3 = 0",
         "subset_mask": f"with {X1} select x.* from x join part on p_partkey = var_idx where p_size > 40",
         "gram": f"with {X3} select a.var_idx as i, b.var_idx as j, round(sum(a.value * b.value), 6) as g from x a join x b using (obs_idx) where a.var_idx <= b.var_idx group by 1, 2",
+        "pca_lengths": f"""with {X3}, m as (select var_idx, avg(value) mean, stddev_pop(value) std from x group by 1)
+select obs_idx, round(sum(((value - mean) / std) ** 2), 6) as d2 from x join m using (var_idx) group by 1""",
         "nearest": """with p as (select a.vec_id as obs_idx, b.vec_id as o, list_distance(a.embedding::double[], b.embedding::double[]) ** 2 as d2 from embeddings a join embeddings b on a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by obs_idx order by d2, o) - 1 as rank from p) select obs_idx, rank, round(d2, 4) as d2 from r where rank < 5""",
         "plot_range": "select round(min(embedding[1])::double, 6) as x_min, round(max(embedding[1])::double, 6) as x_max, round(min(embedding[2])::double, 6) as y_min, round(max(embedding[2])::double, 6) as y_max from embeddings",
