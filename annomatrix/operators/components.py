@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..model import AnnotatedMatrix
 from ..params import FeatureSelection
 from .dense import DENSE_CELLS
-from .features import select_features
+from .features import chosen_features
 from .pca import MAX_FEATURES
 from .rows import dense_rows, known_variables, observations, tall_qr
 
@@ -132,7 +132,7 @@ class _Reader(MLReader):
 
 def fit_components(am: AnnotatedMatrix, k: int = 2, center: bool = True, scale: bool = True, features: FeatureSelection | None = None) -> PrincipalComponentsModel:
     """The model of a matrix, of all variables or of those chosen."""
-    columns = None if features is None else select_features(am, features)
+    columns = None if features is None else chosen_features(am, features)[0]
     return PrincipalComponents(k=k, center=center, scale=scale).fit(observations(am, columns))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..model import AnnotatedMatrix
 from ..params import FeatureSelection
 from .dense import DENSE_CELLS, cell_lists, scatter
-from .features import select_features
+from .features import chosen_features
 
 #: Variables whose cross-product the driver takes whole.
 MAX_FEATURES = 1024
@@ -151,7 +151,8 @@ def pca(
     if n_components < 1:
         raise ValueError("one component at least")
     spark = am.x.sparkSession
-    chosen = [(r.var_idx, r.out_pos) for r in select_features(am, features or FeatureSelection.everything()).limit(max_features + 1).collect()]
+    ids = chosen_features(am, features or FeatureSelection.everything())[0].select("var_idx").limit(max_features + 1).collect()
+    chosen = [(v, i) for i, v in enumerate(sorted(r.var_idx for r in ids))]
     if not chosen:
         raise ValueError("no variable is selected")
     if len(chosen) > max_features:

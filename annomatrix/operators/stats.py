@@ -34,20 +34,38 @@ def _empty(name: str, native: bool) -> Column:
     }[name]
 
 
-def _found(x: DataFrame, key: str, which: tuple[str, ...]) -> DataFrame:
-    """The statistics of the groups that have entries. What is exact in any order takes one aggregate; sums and variances
-    take one by exponent bucket and another over each group's few buckets."""
+def _squares(which: tuple[str, ...]) -> bool:
+    return bool({"variance", "std"} & set(which))
+
+
+def _extremes(which: tuple[str, ...]) -> list[str]:
+    return [n for n in ("min", "max") if n in which]
+
+
+def _plain() -> dict[str, Column]:
     v = F.col("value")
-    plain = {"count": F.count(F.lit(1)), "min": F.min(skip_nan(v)), "max": F.max(skip_nan(v))}
-    squares = bool({"variance", "std"} & set(which))
-    if not squares and "sum" not in which:
-        return x.groupBy(key).agg(*[plain[n].alias(n) for n in which])
+    return {"count": F.count(F.lit(1)), "min": F.min(skip_nan(v)), "max": F.max(skip_nan(v))}
+
+
+def partial(x: DataFrame, key: str, which: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """One row per group and exponent bucket of its entries: what the statistics are put together from."""
+    x = x.select(key, F.col("value").cast("double").alias("value"))
+    v, a, plain = F.col("value"), F.col("a"), _plain()
     x = x.withColumn("b", exact.bucket(v))
     x = x.withColumn("a", exact.scaled(v, F.col("b")))
-    a = F.col("a")
-    lanes = exact.sum_lanes(a) + (exact.square_lanes(a) if squares else [])
-    asked = [n for n in ("min", "max") if n in which]
-    parts = x.groupBy(key, "b").agg(plain["count"].alias("n"), exact.not_finite(v).alias("odd"), *[plain[n].alias(n) for n in asked], *lanes)
+    lanes = exact.sum_lanes(a) + (exact.square_lanes(a) if _squares(which) else [])
+    return x.groupBy(key, "b").agg(plain["count"].alias("n"), exact.not_finite(v).alias("odd"), *[plain[n].alias(n) for n in _extremes(which)], *lanes)
+
+
+def combined(parts: DataFrame, key: str) -> DataFrame:
+    """Rows of partial() of all statistics, over several sets of entries, as one set."""
+    added = [F.sum(n).alias(n) for n in ("n", "odd", *exact.lane_names(True))]
+    return parts.groupBy(key, "b").agg(*added, F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def finished(parts: DataFrame, key: str, which: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """The statistics of each group in parts."""
+    squares, asked = _squares(which), _extremes(which)
     joined = F.collect_list(F.struct("b", *exact.lane_names(squares))).alias("parts")
     groups = parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), joined, *[getattr(F, n)(n).alias(n) for n in asked])
     if squares:
@@ -56,6 +74,14 @@ def _found(x: DataFrame, key: str, which: tuple[str, ...]) -> DataFrame:
     return groups.select(key, *[(made[n] if n in made else F.col(n)).alias(n) for n in which])
 
 
+def _found(x: DataFrame, key: str, which: tuple[str, ...]) -> DataFrame:
+    """The statistics of the groups that have entries. What is exact in any order takes one aggregate; sums and variances
+    take one by exponent bucket and another over each group's few buckets."""
+    if not _squares(which) and "sum" not in which:
+        return x.groupBy(key).agg(*[_plain()[n].alias(n) for n in which])
+    return finished(partial(x, key, which), key, which)
+
+
 def axis_stats(
     am: AnnotatedMatrix, direction: Direction, which: tuple[str, ...] = STATISTICS, mode: ComputationMode | None = None
 ) -> DataFrame:
@@ -63,8 +89,13 @@ def axis_stats(
     if unknown := set(which) - set(STATISTICS):
         raise ValueError(f"no such statistics: {sorted(unknown)}")
     key = direction.key
-    native = (am.layout == "csr") == direction.is_row
     found = _found(am.x.select(key, F.col("value").cast("double").alias("value")), key, which)
+    return empty_filled(am, direction, found, which)
+
+
+def empty_filled(am: AnnotatedMatrix, direction: Direction, found: DataFrame, which: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """found for every row of the axis; groups that it lacks get the statistics of no entries."""
+    key, native = direction.key, (am.layout == "csr") == direction.is_row
     out = am.axis(direction).select(key).join(found, key, "left")
     return out.select(key, *[F.coalesce(F.col(n), _empty(n, native)).alias(n) for n in which])
 

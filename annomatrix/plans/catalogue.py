@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .. import operators as O
 from ..operators.dense import to_dense_selected
 from ..params import Absolute, ComputationMode, Direction, FeatureSelection, Relative, Unbounded
-from ..plotting import plot_range
+from ..plotting import plot_range, raster
+from ..storage import new_path
+from ..streaming import GrowingStatistics
 from .matrices import orders_by_part, users_by_event, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +208,30 @@ def range_of_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _round(plot_range(points, "a", "b"), "x_min", "x_max", "y_min", "y_max")
 
 
+def raster_of_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Points per pixel and label of a picture of the first two components."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("string").alias("label"), at(0).alias("a"), at(1).alias("b"))
+    return raster(points, "a", "b", 32, 24, "label")
+
+
+def positions_of_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh from the fifth of the orders that a filter has kept, whatever their ids."""
+    am = O.filter_obs(orders_by_part(spark, d), Absolute(3))
+    return O.slice_positions(am, ROW, 5, None, 7)
+
+
+def growing_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's quantity as an entry of its part, streamed into a state of exact sums; every part's statistics after."""
+    folder = new_path(spark)
+    state = GrowingStatistics(spark, folder, COLUMN)
+    lines = spark.readStream.schema(spark.read.parquet(f"{d}/lineitem.parquet").schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern: a stream's plain path is a folder
+    entries = lines.select(F.col("l_orderkey").alias("obs_idx"), F.col("l_partkey").alias("var_idx"), F.col("l_quantity").alias("value"))
+    run = entries.writeStream.foreachBatch(state.add).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _round(state.read(orders_by_part(spark, d)), "sum", "variance", "std")
+
+
 def pipeline_chain(spark: SparkSession, d: str) -> DataFrame:
     """Filter observations, then variables, scale each observation and take logarithms."""
     am = O.filter_var(O.filter_obs(orders_by_part(spark, d), Absolute(2), Relative(0.95)), Absolute(5))
@@ -261,6 +287,9 @@ def queries() -> dict[str, Query]:
         "tsne": tsne_vectors,
         "nearest": nearest_vectors,
         "plot_range": range_of_vectors,
+        "plot_raster": raster_of_vectors,
+        "slice_positions": positions_of_kept,
+        "growing_stats": growing_parts,
     }
 
 
@@ -288,6 +317,12 @@ def oracle_sql() -> dict[str, str]:
         "subset_slice": f"with {X3} select obs_idx, var_idx, round(value, 6) as value from x where var_idx >= 2 and var_idx < 20 and (var_idx - 2) % 3 = 0",
         "subset_mask": f"with {X1} select x.* from x join part on p_partkey = var_idx where p_size > 40",
         "gram": f"with {X3} select a.var_idx as i, b.var_idx as j, round(sum(a.value * b.value), 6) as g from x a join x b using (obs_idx) where a.var_idx <= b.var_idx group by 1, 2",
+        "plot_raster": """with p as (select label::varchar as label, embedding[1]::double a, embedding[2]::double b from embeddings),
+e as (select min(a) a0, max(a) a1, min(b) b0, max(b) b1 from p)
+select label, floor((a - a0) / (a1 - a0) * 31)::int as cx, floor((b - b0) / (b1 - b0) * 23)::int as cy, count(*) as n from p, e group by 1, 2, 3""",
+        "slice_positions": f"""with {X1}, k as (select o_orderkey obs_idx from orders join x on o_orderkey = obs_idx group by 1 having count(*) >= 3),
+r as (select obs_idx, row_number() over (order by obs_idx) - 1 as place from k) select obs_idx, (place - 5) // 7 as out_pos from r where place >= 5 and (place - 5) % 7 = 0""",
+        "growing_stats": _stat_sql(COLUMN, "count", "sum", "variance", "std", "min", "max").replace(X1, "x as (select l_orderkey obs_idx, l_partkey var_idx, l_quantity as value from lineitem)"),
         "pca_lengths": f"""with {X3}, m as (select var_idx, avg(value) mean, stddev_pop(value) std from x group by 1)
 select obs_idx, round(sum(((value - mean) / std) ** 2), 6) as d2 from x join m using (var_idx) group by 1""",
         "nearest": """with p as (select a.vec_id as obs_idx, b.vec_id as o, list_distance(a.embedding::double[], b.embedding::double[]) ** 2 as d2 from embeddings a join embeddings b on a.vec_id <> b.vec_id),

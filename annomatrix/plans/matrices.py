@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..model import AnnotatedMatrix
+from ..operators.positions import numbered
 from ..sources import from_arrays, from_triplets
 
 
@@ -22,10 +23,9 @@ def orders_by_part(spark: SparkSession, sf_dir: str) -> AnnotatedMatrix:
 def users_by_event(spark: SparkSession, sf_dir: str) -> AnnotatedMatrix:
     """Dense: summed value of each event type of each user. Types are numbered in alphabetic order."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    types = events.select("event_type").distinct()
-    var = types.alias("a").join(types.alias("b"), F.col("b.event_type") <= F.col("a.event_type"))
-    var = var.groupBy(F.col("a.event_type").alias("var_name")).agg((F.count(F.lit(1)) - 1).alias("var_idx"))
-    x = events.join(F.broadcast(var), F.col("event_type") == F.col("var_name"))  # a handful of event types
+    types = events.where("event_type is not null").select(F.col("event_type").alias("var_name")).distinct()
+    var = numbered(types, "var_name", "var_idx")
+    x = events.join(var, F.col("event_type") == F.col("var_name"))
     return from_triplets(x, None, var.select("var_idx", "var_name"), "user_id", "var_idx", "value")
 
 

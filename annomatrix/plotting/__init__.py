@@ -1,4 +1,4 @@
-from .scatter import plot_pca, plot_range
+from .scatter import plot_pca, plot_range, raster
 from .settings import PcaPlotSettings
 
-__all__ = ["PcaPlotSettings", "plot_pca", "plot_range"]
+__all__ = ["PcaPlotSettings", "plot_pca", "plot_range", "raster"]

@@ -1,5 +1,5 @@
-"""A scatter plot of two components. Spark finds the range and thins the points to one per pixel and label, so what
-the driver draws is bounded by the size of the picture and not by the observations."""
+"""A scatter plot of two components. Spark finds the range and counts the points per pixel and label, so what the
+driver draws is bounded by the size of the picture and not by the observations, and dense regions are darker."""
 
 from __future__ import annotations
 
@@ -27,6 +27,15 @@ def plot_range(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.agg(*[v.alias(n) for n, v in ends])
 
 
+def raster(points: DataFrame, x: str, y: str, width: int, height: int, *by: str, ends: DataFrame | None = None) -> DataFrame:
+    """(by, cx, cy, n): how many points with finite coordinates fall on each pixel, from 0 at the least coordinates. ends is
+    plot_range of the points, where it is known already."""
+    ends = plot_range(points, x, y) if ends is None else ends
+    at = lambda c, o, n: F.floor((finite(F.col(c)) - F.col(f"{o}_min")) / F.coalesce(F.nullif(F.col(f"{o}_max") - F.col(f"{o}_min"), F.lit(0.0)), F.lit(1.0)) * (n - 1)).cast("int")
+    placed = points.join(F.broadcast(ends)).select(*by, at(x, "x", width).alias("cx"), at(y, "y", height).alias("cy"))  # one row: an aggregate without keys
+    return placed.dropna(subset=["cx", "cy"]).groupBy(*by, "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _png(path: str, pixels) -> None:
     h, w, _ = pixels.shape
     raw = b"".join(b"\0" + pixels[i].tobytes() for i in range(h))
@@ -79,12 +88,12 @@ def plot_pca(
         points = points.join(am.obs.select("obs_idx", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")), "obs_idx")
     else:
         points = points.withColumn("label", F.lit(""))
-    x0, x1, y0, y1 = plot_range(points, "px", "py").first()
-    if x0 is None or y0 is None:
+    ends = plot_range(points, "px", "py").first()
+    if ends.x_min is None or ends.y_min is None:
         raise ValueError("there is no finite point to plot")
     w, h = s.width - 2 * MARGIN, s.height - 2 * MARGIN
-    at = lambda c, lo, hi, n: F.floor((finite(F.col(c)) - lo) / ((hi - lo) or 1.0) * (n - 1)).cast("int")
-    spots = points.select("label", at("px", x0, x1, w).alias("cx"), at("py", y0, y1, h).alias("cy")).dropna().distinct()
+    known = am.x.sparkSession.createDataFrame([tuple(ends)], "x_min double, x_max double, y_min double, y_max double")
+    spots = raster(points, "px", "py", w, h, "label", ends=known)
     labels = [r.label for r in points.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
     if len(labels) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
@@ -100,7 +109,8 @@ def plot_pca(
     for spot in spots.orderBy("label", "cx", "cy").toLocalIterator():
         cx, cy = MARGIN + spot.cx, MARGIN + h - 1 - spot.cy
         area = img[max(0, cy - r) : cy + r + 1, max(0, cx - r) : cx + r + 1]
-        area[:] = area * (1 - s.point_alpha) + np.array(colors[spot.label]) * s.point_alpha
+        alpha = 1 - (1 - s.point_alpha) ** spot.n  # as if each of the n points were drawn
+        area[:] = area * (1 - alpha) + np.array(colors[spot.label]) * alpha
     half, step = MARGIN // 2, min(16, max(1, h // max(1, len(labels))))
     texts = [
         (s.title, s.width // 2, half + 6, 16, 0.5, False),

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from annomatrix import Absolute, AnnotatedMatrix, ComputationMode, Direction, FeatureSelection, FileScope, Relative, Unbounded
 from annomatrix import operators as O
-from annomatrix.operators.dense import reindex
+from annomatrix.operators.positions import reindex
 from annomatrix.operators.limits import bracketed, quantile_row
 from annomatrix.operators.pca import leading
 from annomatrix.plotting import PcaPlotSettings, plot_pca
