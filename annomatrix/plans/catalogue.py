@@ -12,6 +12,7 @@ from .. import operators as O
 from ..operators.dense import to_dense_selected
 from ..params import Absolute, ComputationMode, Direction, FeatureSelection, Relative, Unbounded
 from ..plotting import plot_range, raster
+from ..sources import read_blocks, to_blocks
 from ..storage import new_path
 from ..streaming import GrowingStatistics
 from .matrices import orders_by_part, users_by_event, vectors
@@ -232,6 +233,32 @@ def growing_parts(spark: SparkSession, d: str) -> DataFrame:
     return _round(state.read(orders_by_part(spark, d)), "sum", "variance", "std")
 
 
+def _in_blocks(spark: SparkSession, d: str, layout: str = "csr"):
+    path = new_path(spark)
+    to_blocks(orders_by_part(spark, d), layout).write(path)
+    return read_blocks(spark, path, layout)
+
+
+def block_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and different orders over all chunks, blocks cut at 4096 entries; an order that a cut divides counts once a block
+    and is taken off again."""
+    blocks = to_blocks(orders_by_part(spark, d), "csr", 4096)
+    chunks = blocks.chunks()
+    shared = chunks.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("edge")).groupBy("edge").agg((F.count(F.lit(1)) - 1).alias("again"))
+    n = chunks.agg(F.sum(F.col("n_entries").cast("long")).alias("n_entries"), F.sum(F.col("n_ids").cast("long")).alias("ids"))
+    return n.join(F.broadcast(shared.agg(F.sum("again").alias("again")))).select("n_entries", (F.col("ids") - F.col("again")).alias("n_orders"))  # one row each
+
+
+def block_turned(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of all orders, stored by order and turned to be stored by part."""
+    return _in_blocks(spark, d).turned().entries()
+
+
+def block_range(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of the orders of a range of ids, by blocks whose statistics reach it."""
+    return _in_blocks(spark, d).between(1000, 9000)
+
+
 def pipeline_chain(spark: SparkSession, d: str) -> DataFrame:
     """Filter observations, then variables, scale each observation and take logarithms."""
     am = O.filter_var(O.filter_obs(orders_by_part(spark, d), Absolute(2), Relative(0.95)), Absolute(5))
@@ -290,6 +317,12 @@ def queries() -> dict[str, Query]:
         "plot_raster": raster_of_vectors,
         "slice_positions": positions_of_kept,
         "growing_stats": growing_parts,
+        "block_count_row": lambda spark, d: _in_blocks(spark, d).counts(ROW),
+        "block_count_col": lambda spark, d: _in_blocks(spark, d).counts(COLUMN),
+        "block_sum_col": lambda spark, d: _round(_in_blocks(spark, d, "csc").stats(COLUMN, ("sum",)), "sum"),
+        "block_chunks": block_chunks,
+        "block_turned": block_turned,
+        "block_range": block_range,
     }
 
 
@@ -323,6 +356,12 @@ select label, floor((a - a0) / (a1 - a0) * 31)::int as cx, floor((b - b0) / (b1
         "slice_positions": f"""with {X1}, k as (select o_orderkey obs_idx from orders join x on o_orderkey = obs_idx group by 1 having count(*) >= 3),
 r as (select obs_idx, row_number() over (order by obs_idx) - 1 as place from k) select obs_idx, (place - 5) // 7 as out_pos from r where place >= 5 and (place - 5) % 7 = 0""",
         "growing_stats": _stat_sql(COLUMN, "count", "sum", "variance", "std", "min", "max").replace(X1, "x as (select l_orderkey obs_idx, l_partkey var_idx, l_quantity as value from lineitem)"),
+        "block_count_row": _stat_sql(ROW, "count"),
+        "block_count_col": _stat_sql(COLUMN, "count"),
+        "block_sum_col": _stat_sql(COLUMN, "sum"),
+        "block_chunks": f"with {X1} select count(*) as n_entries, count(distinct obs_idx) as n_orders from x",
+        "block_turned": f"with {X1} select * from x",
+        "block_range": f"with {X1} select * from x where obs_idx between 1000 and 9000",
         "pca_lengths": f"""with {X3}, m as (select var_idx, avg(value) mean, stddev_pop(value) std from x group by 1)
 select obs_idx, round(sum(((value - mean) / std) ** 2), 6) as d2 from x join m using (var_idx) group by 1""",
         "nearest": """with p as (select a.vec_id as obs_idx, b.vec_id as o, list_distance(a.embedding::double[], b.embedding::double[]) ** 2 as d2 from embeddings a join embeddings b on a.vec_id <> b.vec_id),
