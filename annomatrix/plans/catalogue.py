@@ -12,7 +12,7 @@ from .. import operators as O
 from ..operators.dense import to_dense_selected
 from ..params import Absolute, ComputationMode, Direction, FeatureSelection, Relative, Unbounded
 from ..plotting import plot_range, raster
-from ..sources import read_blocks, to_blocks
+from ..sources import create_bundle, from_nested, read_blocks, to_blocks
 from ..storage import new_path
 from ..streaming import GrowingStatistics
 from .matrices import orders_by_part, users_by_event, vectors
@@ -216,6 +216,14 @@ def raster_of_vectors(spark: SparkSession, d: str) -> DataFrame:
     return raster(points, "a", "b", 32, 24, "label")
 
 
+def nested_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as arrays of four by some, put into columns again."""
+    n = F.size("embedding")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1, F.lit(4)), lambda i: F.slice("embedding", i + 1, F.lit(4)))
+    shaped = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.when(n > 0, pieces).alias("shaped"))
+    return from_nested(shaped, "vec_id", "shaped").x.select("obs_idx", "var_idx", F.round("value", DIGITS).alias("value"))
+
+
 def positions_of_kept(spark: SparkSession, d: str) -> DataFrame:
     """Every seventh from the fifth of the orders that a filter has kept, whatever their ids."""
     am = O.filter_obs(orders_by_part(spark, d), Absolute(3))
@@ -239,6 +247,22 @@ def _in_blocks(spark: SparkSession, d: str, layout: str = "csr"):
     return read_blocks(spark, path, layout)
 
 
+def _annotated_bundle(direction: Direction) -> Query:
+    """The quality columns, added to a stored bundle after two others, one of them replaced by them."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        bundle = create_bundle(orders_by_part(spark, d), new_path(spark))
+        am = bundle.matrix()
+        names = O.stats.QC_NAMES[direction]
+        counts = O.compute_number(am, direction)
+        bundle.add_columns(direction, counts.select(direction.key, F.col("count").alias("stored"), F.lit(-1).alias(names["count"])))
+        bundle.add_columns(direction, O.qc_variables(am)[direction.value])
+        doubles = [n for k, n in names.items() if k != "count"]
+        return _round(bundle.matrix().axis(direction).select(direction.key, "stored", *names.values()), *doubles)
+
+    return run
+
+
 def block_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Entries and different orders over all chunks, blocks cut at 4096 entries; an order that a cut divides counts once a block
     and is taken off again."""
@@ -316,7 +340,10 @@ def queries() -> dict[str, Query]:
         "plot_range": range_of_vectors,
         "plot_raster": raster_of_vectors,
         "slice_positions": positions_of_kept,
+        "nested_arrays": nested_arrays,
         "growing_stats": growing_parts,
+        "bundle_obs": _annotated_bundle(ROW),
+        "bundle_var": _annotated_bundle(COLUMN),
         "block_count_row": lambda spark, d: _in_blocks(spark, d).counts(ROW),
         "block_count_col": lambda spark, d: _in_blocks(spark, d).counts(COLUMN),
         "block_sum_col": lambda spark, d: _round(_in_blocks(spark, d, "csc").stats(COLUMN, ("sum",)), "sum"),
@@ -355,7 +382,10 @@ e as (select min(a) a0, max(a) a1, min(b) b0, max(b) b1 from p)
 select label, floor((a - a0) / (a1 - a0) * 31)::int as cx, floor((b - b0) / (b1 - b0) * 23)::int as cy, count(*) as n from p, e group by 1, 2, 3""",
         "slice_positions": f"""with {X1}, k as (select o_orderkey obs_idx from orders join x on o_orderkey = obs_idx group by 1 having count(*) >= 3),
 r as (select obs_idx, row_number() over (order by obs_idx) - 1 as place from k) select obs_idx, (place - 5) // 7 as out_pos from r where place >= 5 and (place - 5) % 7 = 0""",
+        "nested_arrays": f"with {X3} select obs_idx, var_idx, round(value, 6) as value from x",
         "growing_stats": _stat_sql(COLUMN, "count", "sum", "variance", "std", "min", "max").replace(X1, "x as (select l_orderkey obs_idx, l_partkey var_idx, l_quantity as value from lineitem)"),
+        "bundle_obs": f"select *, num_genes_per_cell as stored from ({_qc_sql(ROW)})",
+        "bundle_var": f"select *, num_cells_per_gene as stored from ({_qc_sql(COLUMN)})",
         "block_count_row": _stat_sql(ROW, "count"),
         "block_count_col": _stat_sql(COLUMN, "count"),
         "block_sum_col": _stat_sql(COLUMN, "sum"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,40 @@ def from_arrays(
     return AnnotatedMatrix(x, _named(obs, "obs_idx", "obs_name"), _named(var, "var_idx", "var_name"), layout=layout)
 
 
+def from_nested(
+    df: DataFrame, id_col: str, array_col: str, trailing: tuple[int, ...] | None = None, layout: str = "csr"
+) -> AnnotatedMatrix:
+    """df: one row per observation with its values in an array of arrays, nested to any depth. The first axis and the
+    trailing ones become columns, the last running fastest; trailing says how long each of those is, or else one pass finds
+    the longest of each. Values that are no numbers are 0, null ones are not stored; a null array has no entries, a short one
+    leaves those beyond it out, and one longer than trailing says is an error. A plain array, or no array, is a TypeError."""
+    depth, kind = 0, df.schema[array_col].dataType
+    while isinstance(kind, T.ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    if depth < 2 or not isinstance(kind, (*NUMERIC, T.StringType, T.BooleanType)):
+        raise TypeError(f"an array of arrays of numbers, not {df.schema[array_col].dataType.simpleString()}")
+    id_long, arrays = F.col(id_col).cast("long").alias("obs_idx"), F.col(array_col)
+    levels = [f"i{k}" for k in range(depth)]
+    x = df.select(id_long, arrays.alias("a"))
+    for i in levels:
+        x = x.select("obs_idx", *levels[: levels.index(i)], F.posexplode("a").alias(i, "a"))
+    if trailing is None:
+        longest = x.agg(*[F.max(i) for i in levels[1:]]).first()  # one row
+        trailing = tuple((n if n is not None else -1) + 1 for n in longest)
+    if len(trailing) != depth - 1 or min(trailing) < 0:
+        raise ValueError(f"{depth - 1} lengths of trailing axes, none negative")
+    at = F.col("i0").cast("long")
+    for i, n in zip(levels[1:], trailing, strict=True):
+        at = at * n + F.when(F.col(i) < n, F.col(i)).otherwise(F.raise_error(F.lit(f"an array is longer than {n}")).cast("int"))
+    value = F.when(F.col("a").isNotNull(), F.coalesce(F.col("a").try_cast("double"), F.lit(0.0)))
+    x = x.select("obs_idx", at.alias("var_idx"), value.alias("value")).where("obs_idx is not null and value is not null")
+    width = F.lit(prod(trailing)).cast("long") * F.coalesce(F.max(F.size(arrays)), F.lit(0))
+    var = df.agg(width.alias("n")).where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("var_idx"))
+    keep = [c for c in df.columns if c not in (id_col, array_col, "obs_idx")]
+    obs = df.select(id_long, *[F.col("`" + c.replace("`", "``") + "`") for c in keep])
+    return AnnotatedMatrix(x, _named(obs, "obs_idx", "obs_name"), _named(var, "var_idx", "var_name"), layout=layout)
+
+
 def from_dense(df: DataFrame, id_col: str, value_cols: list[str], layout: str = "csr") -> AnnotatedMatrix:
     """df: one numeric column per variable. var_name is the column's name."""
     spark = df.sparkSession

@@ -1,0 +1,170 @@
+import json
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from annomatrix import operators as O
+from annomatrix.model import AnnotatedMatrix
+from annomatrix.params import Direction, FileScope
+from annomatrix.sources import Bundle, create_bundle
+
+ROW, COLUMN = Direction.ROW, Direction.COLUMN
+
+
+@pytest.fixture()
+def made(spark, tmp_path):
+    x = spark.createDataFrame([(i, i % 3, float(i)) for i in range(20)], "obs_idx long, var_idx long, value double")
+    obs = spark.range(25).select(F.col("id").alias("obs_idx"), F.col("id").cast("string").alias("obs_name"), F.lit(1).alias("a.b"))
+    am = AnnotatedMatrix(x, obs, spark.range(3).withColumnRenamed("id", "var_idx"), {"X_p": obs.select("obs_idx", F.array(F.lit(1.0)).alias("vec"))})
+    path = f"file://{tmp_path}/bundle"
+    return am, create_bundle(am, path), path, str(tmp_path / "bundle")
+
+
+def listed(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def numbers(spark, name, value, ids=range(25)):
+    return spark.createDataFrame([(i, value) for i in ids], f"obs_idx long, `{name}` int")
+
+
+def files(folder):
+    return sorted(os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs)
+
+
+def test_what_was_written_is_read(made):
+    am, bundle, *_ = made
+    got = bundle.matrix()
+    assert bundle.versions() == [0] and got.layout == am.layout
+    for a, b in ((am.x, got.x), (am.obs, got.obs), (am.var, got.var), (am.obsm["X_p"], got.obsm["X_p"])):
+        assert a.columns == b.columns and listed(a) == listed(b)
+
+
+def test_columns_are_added_and_replaced_without_touching_other_files(spark, made):
+    am, bundle, path, folder = made
+    before = {f: os.stat(f).st_mtime_ns for f in files(folder)}
+    per_obs, per_var = O.qc_variables(bundle.matrix())
+    assert bundle.add_columns(ROW, per_obs) == 1 and bundle.add_columns(COLUMN, per_var) == 2
+    assert bundle.add_columns(ROW, numbers(spark, "a.b", 7, range(5))) == 3
+    assert {f: os.stat(f).st_mtime_ns for f in before} == before
+    got = Bundle(spark, path).matrix()
+    want = O.qc(am)
+    same = lambda a, b: repr(listed(a)) == repr(listed(b))  # noqa: E731  NaN too
+    assert same(got.obs.select(*per_obs.columns), want.obs.select(*per_obs.columns)) and same(got.var, want.var)
+    assert listed(got.obs.select("obs_idx", "`a.b`")) == sorted([(i, 7 if i < 5 else None) for i in range(25)], key=repr)
+    assert listed(Bundle(spark, path).matrix(0).obs) == listed(am.obs)
+
+
+def test_a_reader_of_an_old_version_goes_on(spark, made):
+    am, bundle, *_ = made
+    old = bundle.matrix()
+    for i in range(3):
+        bundle.add_columns(ROW, numbers(spark, "n", i))
+    bundle.compact(ROW)
+    bundle.vacuum(keep=5)
+    assert listed(old.obs) == listed(am.obs)
+    assert listed(bundle.matrix().obs.select("n").distinct()) == [(2,)]
+
+
+def test_a_failed_write_leaves_no_trace(spark, made):
+    _, bundle, _, folder = made
+    before = files(folder)
+    fails = spark.range(25).select(F.col("id").alias("obs_idx"), F.when(F.col("id") == 20, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).alias("n"))
+    with pytest.raises(PySparkException):
+        bundle.add_columns(ROW, fails)
+    with pytest.raises(ValueError, match="repeats"):
+        bundle.add_columns(ROW, numbers(spark, "n", 1, [None, None, 3, 3]))
+    assert files(folder) == before and bundle.versions() == [0]
+
+
+def test_what_a_dead_writer_left_is_not_read_and_goes_with_vacuum(spark, made):
+    am, bundle, path, folder = made
+    numbers(spark, "n", 1).write.parquet(f"{path}/groups/left")
+    open(f"{folder}/versions/_aside", "w").close()
+    assert bundle.versions() == [0] and listed(bundle.matrix().obs) == listed(am.obs)
+    bundle.vacuum()
+    assert os.path.exists(f"{folder}/groups/left")
+    bundle.vacuum(hours=-1)
+    assert not os.path.exists(f"{folder}/groups/left") and listed(bundle.matrix().x) == listed(am.x)
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, made):
+    _, bundle, path, _ = made
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: Bundle(spark, path, FileScope.READ_WRITE).add_columns(ROW, numbers(spark, f"n{i}", i)), range(6)))
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6]
+    obs = bundle.matrix().obs
+    assert [obs.select(f"n{i}").distinct().collect()[0][0] for i in range(6)] == list(range(6))
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_a_version_is_taken_once(spark, made, linked):
+    _, bundle, _, folder = made
+    bundle._own_machine = lambda: linked
+    manifest = bundle._manifest(0)
+    assert not bundle._put(0, manifest | {"x": "other"}) and bundle._manifest(0) == manifest
+    assert [n for n in os.listdir(f"{folder}/versions") if n.startswith(("_", "._"))] == []
+    assert json.dumps(manifest) and bundle._put(1, manifest)
+
+
+def test_vacuum_keeps_what_the_kept_versions_name(spark, made):
+    _, bundle, _, folder = made
+    for i in range(3):
+        bundle.add_columns(ROW, numbers(spark, "n", i))
+    groups = len(os.listdir(f"{folder}/groups"))
+    bundle.vacuum(keep=1, hours=-1)
+    assert bundle.versions() == [3] and len([g for g in os.listdir(f"{folder}/groups") if not g.startswith(".")]) == groups - 2
+    assert listed(bundle.matrix().obs.select("n").distinct()) == [(2,)]
+
+
+def test_compacting_keeps_what_another_writer_added_meanwhile(spark, made):
+    _, bundle, path, _ = made
+    bundle.add_columns(ROW, numbers(spark, "n", 1))
+    put, other = bundle._put, Bundle(spark, path, FileScope.READ_WRITE)
+
+    def late(version, manifest):
+        bundle._put = put
+        other.add_columns(ROW, numbers(spark, "n", 2))
+        return put(version, manifest)
+
+    bundle._put = late
+    assert bundle.compact(ROW) == 3
+    assert listed(bundle.matrix().obs.select("n").distinct()) == [(2,)] and len(bundle._manifest(3)["obs"]) == 2
+
+
+def test_embeddings_are_added_and_replaced(spark, made):
+    _, bundle, *_ = made
+    new = spark.range(25).select(F.col("id").alias("obs_idx"), F.array(F.lit(2.0)).alias("vec"))
+    bundle.add_embedding(ROW, "X_p", new)
+    bundle.add_embedding(ROW, "X_q", new)
+    assert sorted(bundle.matrix().obsm) == ["X_p", "X_q"] and listed(bundle.matrix().obsm["X_p"]) == listed(new)
+
+
+def test_scopes_and_wrong_calls(spark, made, tmp_path):
+    am, bundle, path, _ = made
+    reader = Bundle(spark, path)
+    for call in (lambda: reader.add_columns(ROW, numbers(spark, "n", 1)), lambda: reader.compact(ROW), reader.vacuum):
+        with pytest.raises(PermissionError):
+            call()
+    with pytest.raises(ValueError):
+        bundle.add_columns(ROW, spark.range(3))
+    with pytest.raises(FileExistsError):
+        create_bundle(am, path)
+    with pytest.raises(FileNotFoundError):
+        Bundle(spark, f"file://{tmp_path}/none").matrix()
+
+
+def test_null_and_unknown_ids_join_nothing(spark, made):
+    _, bundle, *_ = made
+    bundle.add_columns(ROW, numbers(spark, "n", 1, [None, None, 3, 99]))
+    assert listed(bundle.matrix().obs.where("n is not null").select("obs_idx")) == [(3,)] and bundle.matrix().obs.count() == 25
+
+
+def test_an_empty_matrix(spark, tmp_path):
+    x = spark.createDataFrame([], "obs_idx long, var_idx long, value double")
+    bundle = create_bundle(AnnotatedMatrix(x, x.select("obs_idx"), x.select("var_idx")), f"file://{tmp_path}/e")
+    bundle.add_columns(ROW, numbers(spark, "n", 1, []))
+    assert bundle.matrix().obs.columns == ["obs_idx", "n"] and bundle.matrix().obs.count() == 0
