@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT = "spark.checkpoint.dir"
 #: Bytes of the rows that a Python worker gets at once, and that the JVM holds for it.
 BATCH_BYTES = 1 << 21
-_scopes: list[set[str]] = []
+#: The sets of tables of the open scopes of one thread, so that queries in several threads drop only their own.
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
+_lock = Lock()
+_bounded: dict[int, list] = {}
 
 
 def quoted(name: str) -> str:
@@ -41,14 +46,21 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Bounds the Arrow batches of what is run inside by bytes, as those of whole texts grow large by rows."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_BYTES))
+    """Bounds the Arrow batches of what is run inside by bytes, as those of whole texts grow large by rows. Of threads that
+    are inside at the same time the last one out sets the session's own bound again."""
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", id(spark)
+    with _lock:
+        use = _bounded.setdefault(own, [0, spark.conf.get(key)])
+        use[0] += 1
+        spark.conf.set(key, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _lock:
+            use[0] -= 1
+            if not use[0]:
+                spark.conf.set(key, use[1])
+                del _bounded[own]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = table_path(spark, name)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    if _scopes:
-        _scopes[-1].add(path)
+    if scopes := _scopes.get():
+        scopes[-1].add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -75,16 +87,18 @@ def drop(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Drops the tables made inside it, but for those put on the list, which go over to the scope outside."""
     kept: list[DataFrame] = []
-    _scopes.append(set())
+    made: set[str] = set()
+    outside = _scopes.get()
+    _scopes.set((*outside, made))
     try:
         yield kept
     finally:
-        made = _scopes.pop()
+        _scopes.set(outside)
         stay = {df.table_path for df in kept} & made
         for path in made - stay:
             drop(spark, path)
-        if _scopes:
-            _scopes[-1] |= stay
+        if outside:
+            outside[-1].update(stay)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

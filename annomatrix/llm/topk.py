@@ -12,13 +12,15 @@ Vectors that are null or hold null, NaN or infinite components, and rows of a nu
 different lengths are compared as if padded with zeros. A vec_id that comes twice among queries counts once, with the
 smallest vector; candidates of the query's own vec_id are its own; other repeated candidates count each. Components that
 256 carries beyond the largest double are taken as that, and scores beyond 64 bits saturate. Fewer than k candidates give
-fewer rows, an empty table none. A vector of any length is read whole. Extra columns, whatever their names, are not read.
+fewer rows, an empty table none. A vector of any length is read whole, and
+blocks are bounded by bytes too. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, scratch
 
 K = 5
 EVERY = 50
 SCALE = 256
 SHARD_ROWS = 8192
 QUERY_ROWS = 512
+#: Bytes of a block's components at most, unless one vector alone has more: long vectors make blocks of fewer rows.
+BLOCK_BYTES = 1 << 25
 LEAF = 256
 #: Vectors from which the centres are found, those of the least hashes of their ids, and centres at most.
 SAMPLE = 4096
@@ -174,12 +178,13 @@ def gathered(usable: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def _blocks(rows: int, tree: bool):
-    """Packs a partition's rows into blocks of so many."""
+    """Packs a partition's rows into blocks of so many, or of as many as BLOCK_BYTES hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, number = TaskContext.get().partitionId() << 32, 0
         ids: list = []
         held: list = []
+        widest = 0
 
         def block() -> pd.DataFrame:
             nonlocal number
@@ -198,10 +203,12 @@ def _blocks(rows: int, tree: bool):
 
         for pdf in batches:
             for i, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+                if ids and (len(ids) == rows or (len(ids) + 1) * max(widest, len(v)) * 8 > BLOCK_BYTES):
+                    yield block()
+                    widest = 0
                 ids.append(i)
                 held.append(v)
-                if len(ids) == rows:
-                    yield block()
+                widest = max(widest, len(v))
         if ids:
             yield block()
 
@@ -210,7 +217,25 @@ def _blocks(rows: int, tree: bool):
 
 
 def top_k(df: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by every, against all others."""
+    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by every, against all others. The result is one
+    table; those of the rounds are dropped."""
+    with scratch(df.sparkSession) as kept:
+        kept.append(materialize(_ranked(df, k, every, shard_rows, query_rows), "topk-ranked"))
+    return kept[0]
+
+
+def _numbered(shards: DataFrame) -> DataFrame:
+    """shards with shard, numbers from 0 without gaps: a block's number in its partition follows on those of the partitions
+    before."""
+    part, within = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    sizes = sorted((r.part, r["count"]) for r in shards.groupBy(part.alias("part")).count().collect())  # one row per partition
+    starts = accumulate((n for _, n in sizes), initial=0)
+    offsets = shards.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part long, start long")
+    numbered = shards.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return numbered.withColumn("shard", F.col("start") + within).drop("part", "start")
+
+
+def _ranked(df: DataFrame, k: int, every: int, shard_rows: int, query_rows: int) -> DataFrame:
     usable = vectors(df)
     centres = centres_of(usable)
     shards = materialize(gathered(usable, centres).mapInPandas(*_blocks(shard_rows, True)), "topk-shards")
@@ -220,9 +245,7 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD
     asked = gathered(asked, centres) if centres.size else asked.repartition(max(1, -(-n_queries // query_rows)), "vec_id")
     asked = asked.mapInPandas(*_blocks(query_rows, False))
     asked = materialize(asked.select(F.col("block").alias("q"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points")), "topk-blocks")
-    numbered = shards.select("block").rdd.map(lambda r: r[0]).sortBy(lambda b: b).zipWithIndex()
-    numbers = df.sparkSession.createDataFrame(numbered, "block long, shard long")
-    shards = shards.join(numbers, "block")
+    shards = _numbered(shards)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[int, np.ndarray] = {}  # kth scores of the query blocks that this task met

@@ -77,3 +77,29 @@ def test_query_matches_sql(spark):
     from compare import assert_same
 
     assert_same(spark, topk.query, topk.ORACLE)
+
+
+def test_long_vectors_make_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=10_000).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(2)
+    sizes = []
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 10 * 10_000 * 8)
+    run, schema = topk._blocks(topk.SHARD_ROWS, True)
+    for r in topk.vectors(df).coalesce(1).mapInPandas(run, schema).select("ids", "points").collect():
+        sizes.append((len(r.ids) // 8, len(r.points)))
+    assert sum(n for n, _ in sizes) == 60 and max(b for _, b in sizes) <= topk.BLOCK_BYTES and max(n for n, _ in sizes) == 10
+    assert {tuple(r) for r in topk.top_k(df, every=20).collect()} == brute(rows, 5, 20)
+
+
+def test_a_vector_above_the_bound_has_its_own_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 64)
+    rows = [(i, [float(i + j) for j in range(2 if i % 3 else 50)]) for i in range(30)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    assert {tuple(r) for r in topk.top_k(df, every=5).collect()} == brute(rows, 5, 5)
+
+
+def test_numbers_of_shards_have_no_gaps(spark):
+    blocks = spark.createDataFrame([((p << 32) + n,) for p, many in ((0, 3), (2, 1), (7, 4)) for n in range(many)], "block long")
+    got = [r.shard for r in topk._numbered(blocks).orderBy("block").collect()]
+    assert got == list(range(8))
