@@ -39,6 +39,12 @@ def test_one_centre_is_exact(spark):
     assert all([n.d2 for n in r.near] == sorted(n.d2 for n in r.near) and r.obs_idx not in {n.other for n in r.near} for r in found)
 
 
+def test_one_centre_is_exact_beyond_a_block(spark):
+    x = clusters(500)
+    found = nearest(points(spark, x), 7, centres=1, cell_points=60).collect()
+    assert len(found) == 500 and recall(found, x, 7) == 1.0
+
+
 def test_recall_of_cells(spark):
     x = clusters(3000)
     assert recall(nearest(points(spark, x), 15, centres=40).collect(), x, 15) >= 0.9
