@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .shared import materialize, scratch
 
 CAPACITY = 1024
 QUANTUM = 32
@@ -151,7 +152,7 @@ def pack_partition(sizes: Iterator[tuple[object, int]], capacity: int, quantum:
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
     No shuffle: each partition packs what it reads, a batch's ids at a time, and holds besides these the ids of open
-    sequences."""
+    sequences. Runs when called, so that batches are bounded by bytes whoever reads the pieces, and writes them."""
     path = tokenizer or tokens.tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         yield _batch(out)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = source.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    with scratch(docs.sparkSession) as kept:
+        pieces = materialize(pieces, "packed")
+        kept.append(pieces)
+    return pieces
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

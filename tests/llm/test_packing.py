@@ -109,3 +109,13 @@ def test_spark_pack(spark, make_docs, edges):
     crc = {(r.sequence_id, r.offset): r.ids_crc32 for r in packing.digest(packing.pack(docs, 64)).collect()}
     assert all(crc[r.sequence_id, r.offset] == zlib.crc32(r.ids) for r in rows)
     assert packing.pack(make_docs([])).count() == 0
+
+
+def test_pieces_are_written_in_small_batches(spark, monkeypatch):
+    """What a Python worker gets at once is bounded by bytes while packing runs, whoever reads the pieces."""
+    bounds = []
+    materialize = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: bounds.append(name) or materialize(df, name))
+    docs = spark.createDataFrame([(i, "some words " * 300) for i in range(9)], "doc_id long, text string")
+    pieces = packing.pack(docs)
+    assert bounds == ["packed"] and {r.doc_id for r in pieces.collect()} == set(range(9))
