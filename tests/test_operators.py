@@ -382,3 +382,19 @@ def test_plot_draws_text(spark, tmp_path):
     differ = (pixels(plain) != pixels(full)).any(2)
     assert differ[:40].sum() > 50 and differ[-40:].sum() > 20 and differ[40:560, :40].sum() > 20
     assert not differ[40:560, 40:].any()
+
+
+def test_entries_are_dealt_by_the_size_of_the_files(spark, monkeypatch):
+    """However few bytes the entries take compressed, a task groups those of PART_BYTES of the files, and row statistics
+    need no shuffle of entries beside that one."""
+    from annomatrix.plans.matrices import orders_by_part
+    from pyspark.sql import functions as F
+
+    from annomatrix.sources import triplets
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(triplets, "PART_BYTES", 4096)
+    x = orders_by_part(spark, sf).x
+    want = -(-os.path.getsize(f"{sf}/lineitem.parquet") // 4096)
+    assert want > 8 and x.rdd.getNumPartitions() == want
+    assert x.groupBy("obs_idx").agg(F.sum("value")).rdd.getNumPartitions() == want
