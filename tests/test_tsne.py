@@ -45,6 +45,33 @@ def test_one_centre_is_exact_beyond_a_block(spark):
     assert len(found) == 500 and recall(found, x, 7) == 1.0
 
 
+def shuffled(spark):
+    """Records that all stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_one_centre_shuffles_in_proportion(spark):
+    """Four times the points, and blocks, take four times the shuffle, not sixteen times."""
+    grown = []
+    for n in (250, 1000):
+        before = shuffled(spark)
+        assert nearest(points(spark, clusters(n)), 7, centres=1, cell_points=60).count() == n
+        grown.append(shuffled(spark) - before)
+    assert grown[1] < 5 * grown[0]
+
+
+def test_one_centre_is_exact_in_hard_places(spark):
+    """Far from the origin single precision has no digits left and a product few; equal points are at no distance; points without
+    a length are near to none."""
+    x = np.vstack([clusters(200) + 1e6, np.zeros((300, 6)), np.full((1, 6), np.nan)])
+    found = nearest(points(spark, x), 7, centres=1, cell_points=60).collect()
+    d = np.sort(np.where(np.eye(500) > 0, np.inf, squared(x[:500])), 1)[:, :7]
+    assert sorted(r.obs_idx for r in found) == list(range(500))
+    assert all(np.allclose([n.d2 for n in r.near], d[r.obs_idx], rtol=1e-12, atol=0) for r in found)
+
+
 def test_recall_of_cells(spark):
     x = clusters(3000)
     assert recall(nearest(points(spark, x), 15, centres=40).collect(), x, 15) >= 0.9
